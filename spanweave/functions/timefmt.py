@@ -60,24 +60,39 @@ def parse_time(text: Column) -> Column:
     return F.when(~bad, F.greatest(F.floor(seconds * 1000 + 0.5), F.lit(0)).cast("bigint"))
 
 
-def _tenths(x: Column) -> Column:
-    """Ten times ``x`` rounded half-even on the exact binary value.
+# Powers of two that add up to ten and to a hundred.
+_DIGITS = {1: (8.0, 2.0), 2: (64.0, 32.0, 4.0)}
 
-    8x and 2x are exact, so a two-sum gives 10x as a double plus its exact error.
+
+def scaled_round(x: Column, digits: int) -> Column:
+    """``x`` times a power of ten, rounded half-even on the exact binary value of ``x``.
+
+    Scaling by a power of two is exact, so two-sums give the product as a double plus its error; a plain
+    product would already have rounded the tie away.
     """
-    a, b = x * 8.0, x * 2.0
-    s = a + b
-    bb = s - a
-    err = (a - (s - bb)) + (b - bb)
+    first, *rest = _DIGITS[digits]
+    s, err = x * first, F.lit(0.0)
+    for scale in rest:
+        b = x * scale
+        t = s + b
+        bb = t - s
+        err = err + ((s - (t - bb)) + (b - bb))
+        s = t
     q = F.floor(s)
     d = s - q - 0.5
     up = (d > 0) | ((d == 0) & ((err > 0) | ((err == 0) & (q % 2 == 1))))
-    return q + F.when(up, 1).otherwise(0)
+    return (q + F.when(up, 1).otherwise(0)).cast("bigint")
+
+
+def fixed_two(x: Column) -> Column:
+    """A non-negative number with two decimals, as sample keys are written."""
+    hundredths = scaled_round(x, 2)
+    return F.format_string("%d.%02d", idiv(hundredths, 100), hundredths % 100)
 
 
 def fmt_duration(seconds: Column) -> Column:
     """``4.2s``, ``3m12s`` or ``1h04m``."""
-    tenths = _tenths(seconds).cast("bigint")
+    tenths = scaled_round(seconds, 1)
     whole = F.floor(seconds).cast("bigint")
     return (F.when(seconds < 60, F.format_string("%d.%ds", idiv(tenths, 10), tenths % 10))
             .when(whole < 3600, F.format_string("%dm%02ds", idiv(whole, 60), whole % 60))
