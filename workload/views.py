@@ -251,7 +251,8 @@ def verdicts(spark: SparkSession, sf: str) -> DataFrame:
     """Line items as verdicts on shots; one in a hundred names a shot that does not exist."""
     item = table(spark, sf, "lineitem")
     number = F.col("l_linenumber")
-    seq = F.col("l_orderkey") % 200 * 1_000_000 + F.col("l_linenumber") * 100_000 + F.col("l_partkey") % 100_000
+    cents = F.floor(F.col("l_extendedprice") * 100 + 0.5)
+    seq = (F.col("l_orderkey") % 200 * 10 + F.col("l_linenumber")) * 100_000_000 + cents % 100_000_000
     return item.select(
         F.expr("l_orderkey div 200").alias("media_id"), seq.alias("seq"),
         (F.col("l_orderkey") % 200 + F.when(F.col("l_partkey") % 100 == 0, 1000).otherwise(0)).alias("shot_index"),
@@ -264,7 +265,7 @@ def verdicts(spark: SparkSession, sf: str) -> DataFrame:
 SQL["verdicts"] = """
 verdicts AS (SELECT media_id, seq, shot_index, CASE WHEN flagged IS NULL AND seq % 2 = 0 THEN 'NONE' ELSE flagged END AS action,
     category, confidence FROM (SELECT l_orderkey // 200 AS media_id,
-    l_orderkey % 200 * 1000000 + l_linenumber * 100000 + l_partkey % 100000 AS seq,
+    (l_orderkey % 200 * 10 + l_linenumber) * 100000000 + floor(l_extendedprice * 100 + 0.5)::BIGINT % 100000000 AS seq,
     l_orderkey % 200 + CASE WHEN l_partkey % 100 = 0 THEN 1000 ELSE 0 END AS shot_index,
     CASE l_returnflag WHEN 'A' THEN 'FULL_FRAME_BLUR' WHEN 'R' THEN 'BLACK_BOX' END AS flagged,
     CASE l_linenumber WHEN 1 THEN 'NUDITY' WHEN 2 THEN 'PARTIAL_NUDITY' WHEN 3 THEN 'KISSING' WHEN 4 THEN 'COMPOSITE'
