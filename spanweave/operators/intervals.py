@@ -58,20 +58,26 @@ def merge_hits(hits: DataFrame, keys=(MEDIA,), gap_ms: int = 750, seq: str = "se
     """
     keys = list(keys)
     where = islands(hits, keys, gap_ms).select(*keys, "start_ms", "island_ms")
-    bursts = hits.join(where, [*keys, "start_ms"]).groupBy(*keys, "island_ms").agg(
-        F.max("end_ms").alias("end_ms"), F.min("confidence").alias("confidence"),
-        F.array_sort(F.collect_list(F.struct("start_ms", seq, "word", "context"))).alias("hs"))
+    bursts = hits.join(where, [*keys, "start_ms"]).groupBy(*keys, "island_ms").agg(*burst_aggregates(seq))
+    return bursts.select(*keys, F.col("island_ms").alias("start_ms"), "end_ms", *burst_label())
 
+
+def burst_aggregates(seq: str = "seq") -> list[Column]:
+    """What a burst keeps of its hits: its end, its lowest confidence and the hits for its label."""
+    return [F.max("end_ms").alias("end_ms"), F.min("confidence").alias("confidence"),
+            F.array_sort(F.collect_list(F.struct("start_ms", seq, "word", "context"))).alias("hits")]
+
+
+def burst_label() -> list[Column]:
+    """Words, confidence and folded context of a burst."""
     def append(text: Column, item: Column) -> Column:
         return F.when(F.contains(text, item), text).otherwise(F.concat(text, F.lit(" … "), item))
 
     # A context met before is already in the text, so only first occurrences can add anything.
-    contexts = F.array_distinct(F.transform("hs", lambda h: F.coalesce(h["context"], F.lit(""))))
-    return bursts.select(
-        *keys, F.col("island_ms").alias("start_ms"), "end_ms",
-        F.array_join(F.transform("hs", lambda h: h["word"]), ", ").alias("word"), "confidence",
-        F.aggregate(F.slice(contexts, F.lit(2), F.greatest(F.size(contexts) - 1, F.lit(0))), F.get(contexts, F.lit(0)),
-                    append).alias("context"))
+    contexts = F.array_distinct(F.transform("hits", lambda h: F.coalesce(h["context"], F.lit(""))))
+    later = F.slice(contexts, F.lit(2), F.greatest(F.size(contexts) - 1, F.lit(0)))
+    return [F.array_join(F.transform("hits", lambda h: h["word"]), ", ").alias("word"), F.col("confidence"),
+            F.aggregate(later, F.get(contexts, F.lit(0)), append).alias("context")]
 
 
 def keep_intervals(skips: DataFrame, media: DataFrame, sliver_ms: int | None = None) -> DataFrame:

@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanweave.functions.text import clean_cue_text, repair_mojibake
+from spanweave.functions.text import SPACE, clean_cue_text, repair_mojibake
 from spanweave.functions.timefmt import ts_to_ms
 from spanweave.schema import PLAN_JSON, SHOTS_JSON, TIMELINE_JSON, TRANSCRIPT_JSON
 
 MEDIA = "media_id"
+#: Whatever ends a line in text.
+LINE_END = r"[\n\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]"
 
 
 def read_documents(spark: SparkSession, path: str, suffix: str = "") -> DataFrame:
@@ -22,16 +24,16 @@ def read_documents(spark: SparkSession, path: str, suffix: str = "") -> DataFram
 
 def parse_srt(documents: DataFrame, key: str = MEDIA, strip_sound_cues: bool = True) -> DataFrame:
     """Subtitle text (``text``) to cue rows."""
-    blocks = documents.select(key, F.posexplode(
-        F.split(F.regexp_replace(repair_mojibake(F.col("text")), r"\r\n?", "\n"), r"\n\s*\n")).alias("block_idx", "block"))
-    lines = F.filter(F.split("block", r"\n"), lambda x: F.trim(F.regexp_replace(x, r"\s+", " ")) != "")
+    text = F.regexp_replace(repair_mojibake(F.col("text")), r"\r\n?", "\n")
+    blocks = documents.select(key, F.posexplode(F.split(text, rf"\n{SPACE}*\n")).alias("block_idx", "block"))
+    lines = F.filter(F.split("block", LINE_END), lambda x: ~x.rlike(rf"\A{SPACE}*\z"))
     stamped = blocks.select(key, "block_idx", lines.alias("lines")).where(
         (F.size("lines") >= 2) & F.get("lines", F.lit(1)).contains("-->"))
     times = F.split(F.get("lines", F.lit(1)), "-->")
-    text = F.array_join(F.slice("lines", F.lit(3), F.greatest(F.size("lines") - 2, F.lit(0))), " ")
+    spoken = F.array_join(F.slice("lines", F.lit(3), F.greatest(F.size("lines") - 2, F.lit(0))), " ")
     cues = stamped.select(
         key, "block_idx", ts_to_ms(F.get(times, F.lit(0))).alias("start_ms"),
-        ts_to_ms(F.get(times, F.lit(1))).alias("end_ms"), clean_cue_text(text, strip_sound_cues).alias("text"))
+        ts_to_ms(F.get(times, F.lit(1))).alias("end_ms"), clean_cue_text(spoken, strip_sound_cues).alias("text"))
     return cues.where("text <> ''").select(
         key, F.col("block_idx").cast("bigint").alias("cue_idx"), "start_ms", "end_ms", "text")
 

@@ -1,12 +1,152 @@
-from pyspark.sql import DataFrame
+"""Progress, alerts, suppression and playback flags: pure batch functions and their streaming drivers.
+
+A driver's ``foreachBatch`` calls the batch function with the state earlier epochs left, so stream and
+batch agree by construction, and a hot key is spread inside a micro-batch just as in a batch.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from spanweave.functions.timefmt import fmt_clock
+
+from spanweave.functions.review import TERMINAL
+from spanweave.functions.schedule import Schedule, schedule_allowed
+from spanweave.functions.timefmt import fmt_clock, progress_decile
+from spanweave.operators.intervals import islands
+from spanweave.operators.reconcile import assign_ids, high_water
+from spanweave.operators.scan import Running, id_blocks, running, time_blocks
+from spanweave.streaming.state import KeyedLog, run_available, write_epoch
+
+
+# -- progress ---------------------------------------------------------------------------------------
+
+def progress_state(ticks: DataFrame) -> DataFrame:
+    """Latest state per job; once a job has ended, later ticks no longer count.
+
+    Built from order-free aggregates, so it runs unchanged on a stream, with partial aggregation before the
+    shuffle, and late ticks fall into place.
+    """
+    row = F.struct("seq", "fraction", "stage", "status")
+    ended = F.when(F.col("status").isin(*TERMINAL), row)
+    return ticks.groupBy("job_id").agg(F.min(ended).alias("ended"), F.max(row).alias("latest")).select(
+        "job_id", F.coalesce("ended", "latest").alias("t")).select("job_id", "t.seq", "t.fraction", "t.stage", "t.status")
+
+
+def stream_progress_state(ticks: DataFrame, path: str, checkpoint: str) -> None:
+    """Jobs changed by each epoch; the current state is the latest row per job."""
+    log = KeyedLog(ticks.sparkSession, path, ["job_id"])
+    run_available(progress_state(ticks), lambda batch, epoch: log.write(epoch, batch), checkpoint, "update")
+
+
+# -- alerts -----------------------------------------------------------------------------------------
+
+def decile_alerts(ticks: DataFrame, before: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Ticks that cross a new tenth or change stage, and the marks per job they leave.
+
+    ``before``: (job_id, decile, stage) left by earlier ticks.
+    """
+    rows = ticks.select("job_id", "seq", progress_decile(F.col("fraction")).alias("decile"),
+                        F.when(F.col("stage") != "", F.col("stage")).alias("stage"), F.lit(False).alias("mark"))
+    if before is not None:
+        lead = before.select("job_id", F.lit(-1).cast("bigint").alias("seq"), "decile", "stage", F.lit(True).alias("mark"))
+        rows = lead.unionByName(rows)
+    seen = running(rows, ["job_id"], ["seq"], id_blocks("seq"), top=Running("max", F.col("decile")),
+                   last_stage=Running("last", F.col("stage")))
+    crossed = F.col("decile") > F.coalesce("top", F.lit(-1))
+    moved = F.col("stage").isNotNull() & ~F.col("stage").eqNullSafe(F.col("last_stage"))
+    alerts = seen.where(~F.col("mark") & (crossed | moved)).select(
+        "job_id", "seq", F.when(crossed, "decile").otherwise("stage").alias("kind"), "decile",
+        F.coalesce("stage", "last_stage", F.lit("")).alias("stage"))
+    marks = rows.groupBy("job_id").agg(F.max("decile").alias("decile"), F.max(
+        F.when(F.col("stage").isNotNull(), F.struct("seq", "stage")))["stage"].alias("stage"))
+    return alerts, marks
+
+
+def stream_decile_alerts(ticks: DataFrame, path: str, checkpoint: str) -> None:
+    log = KeyedLog(ticks.sparkSession, f"{path}/marks", ["job_id"])
+
+    def each(batch: DataFrame, epoch: int) -> None:
+        before = log.before(epoch)
+        if before is not None:
+            before = before.join(batch.select("job_id").distinct(), "job_id", "left_semi")
+        alerts, marks = decile_alerts(batch, before)
+        write_epoch(alerts, f"{path}/alerts", epoch)
+        log.write(epoch, marks)
+
+    run_available(ticks, each, checkpoint)
 
 
+# -- suppression ------------------------------------------------------------------------------------
+
+def miss_rechecks(polls: DataFrame, ttl: int = 30, before: DataFrame | None = None) -> DataFrame:
+    """Times at which a repeated miss is looked up again: the first, then whenever the last is ``ttl`` old.
+
+    After a pause of ``ttl`` the answer no longer depends on the past, so each unbroken run of polls is
+    folded on its own; it holds distinct instants only, however many clients ask.
+    ``before``: (path, t_s) of the last look-up.
+    """
+    times = polls.select("path", "t_s")
+    if before is not None:
+        last = before.select("path", F.col("t_s").alias("last_s"))
+        times = times.join(last, "path", "left").where("last_s is null or t_s > last_s").select("path", "t_s").unionByName(
+            before.select("path", "t_s"))
+    spans = times.select("path", F.col("t_s").alias("start_ms"), F.col("t_s").alias("end_ms"))
+    runs = islands(spans, ["path"], ttl - 1, time_blocks()).groupBy("path", "island_ms").agg(
+        F.array_sort(F.collect_list("start_ms")).alias("ts"))
+
+    # The largest element is always the last look-up, so the state is the list itself.
+    def step(passed: Column, t: Column) -> Column:
+        return F.when(t - F.element_at(passed, -1) >= ttl, F.array_append(passed, t)).otherwise(passed)
+
+    passed = F.aggregate(F.slice("ts", F.lit(2), F.greatest(F.size("ts") - 1, F.lit(0))), F.slice("ts", 1, 1), step)
+    out = runs.select("path", F.explode(passed).alias("t_s"))
+    return out if before is None else out.join(before, ["path", "t_s"], "left_anti")
+
+
+def stream_miss_suppression(polls: DataFrame, path: str, checkpoint: str, ttl: int = 30) -> None:
+    log = KeyedLog(polls.sparkSession, f"{path}/last", ["path"])
+
+    def each(batch: DataFrame, epoch: int) -> None:
+        before = log.before(epoch)
+        if before is not None:
+            before = before.join(batch.select("path").distinct(), "path", "left_semi")
+        write_epoch(miss_rechecks(batch, ttl, before), f"{path}/rechecks", epoch)
+        passed = batch.sparkSession.read.parquet(f"{path}/rechecks/epoch={epoch}")
+        log.write(epoch, passed.groupBy("path").agg(F.max("t_s").alias("t_s")))
+
+    run_available(polls, each, checkpoint)
+
+
+# -- playback flags ---------------------------------------------------------------------------------
+
 def flag_moments(flags: DataFrame, pad_ms: int = 1500, approved: bool | None = True) -> DataFrame:
+    """Moments flagged in playback as padded manual findings. Flagging is deciding unless told otherwise."""
     at = F.col("t_ms")
     return flags.select(
         *[c for c in flags.columns if c != "t_ms"], F.greatest(at - pad_ms, F.lit(0)).alias("start_ms"),
         (at + pad_ms).alias("end_ms"), F.lit("manual").alias("category"), F.lit("skip").alias("action"),
         F.lit(approved).cast("boolean").alias("approved"),
         F.concat(F.lit("Flagged during playback at "), fmt_clock(at)).alias("reasoning"))
+
+
+def stream_flag_moments(flags: DataFrame, path: str, checkpoint: str, pad_ms: int = 1500,
+                        approved: bool | None = True) -> None:
+    """Append flagged moments with ids that go on where the media's last epoch ended. ``flags`` has ``seq``."""
+    log = KeyedLog(flags.sparkSession, f"{path}/ids", ["media_id"])
+
+    def each(batch: DataFrame, epoch: int) -> None:
+        floors = log.before(epoch)
+        made = flag_moments(batch, pad_ms, approved)
+        none_yet = made.limit(0).select("media_id", F.lit(0).cast("bigint").alias("id"))
+        write_epoch(assign_ids(made, none_yet, floors), f"{path}/findings", epoch)
+        written = batch.sparkSession.read.parquet(f"{path}/findings/epoch={epoch}")
+        log.write(epoch, high_water(written))
+
+    run_available(flags, each, checkpoint)
+
+
+# -- schedule ---------------------------------------------------------------------------------------
+
+def schedule_gate(events: DataFrame, schedule: Schedule, ts: str = "ts") -> DataFrame:
+    """Events marked as allowed now or held. Stateless, so it runs on streams as it is."""
+    return events.withColumn("allowed", schedule_allowed(F.col(ts), schedule))

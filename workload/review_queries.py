@@ -66,9 +66,9 @@ def merge_reanalysis(spark, sf):
 
 @query("skip_done_engines", "findings", """
 SELECT m.media_id, e.engine FROM (SELECT DISTINCT media_id FROM findings) m, (SELECT unnest(['subtitles', 'vlm', 'whisper']) AS engine) e
-WHERE NOT EXISTS (SELECT 1 FROM findings f WHERE f.media_id = m.media_id AND f.engine = e.engine AND f.media_id % 2 = 0)""")
+WHERE NOT EXISTS (SELECT 1 FROM findings f WHERE f.media_id = m.media_id AND f.engine = e.engine AND f.confidence > 0.9::DOUBLE AND approved)""")
 def skip_done_engines(spark, sf):
-    done = v.findings(spark, sf).where("media_id % 2 = 0")
+    done = v.findings(spark, sf).where("confidence > 0.9D AND approved")
     return rc.skip_done_engines(v.media(spark, sf), ["subtitles", "vlm", "whisper"], done)
 
 

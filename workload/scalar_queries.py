@@ -106,11 +106,11 @@ def flag_moment(spark, sf):
 
 @query("runtime_fallback", "findings media", """
 SELECT m.media_id, CASE WHEN m.media_id % 3 = 0 THEN 2678400000 ELSE coalesce(max(f.end_ms) + 60000, 60000) END AS runtime_ms
-FROM media m LEFT JOIN (SELECT * FROM findings WHERE media_id % 2 = 0) f USING (media_id) GROUP BY m.media_id""")
+FROM media m LEFT JOIN (SELECT * FROM findings WHERE category = 'nudity' AND action = 'skip' AND approved) f USING (media_id) GROUP BY m.media_id""")
 def runtime_fallback(spark, sf):
     known = v.media(spark, sf).withColumn("duration_ms", F.when(F.col("media_id") % 3 == 0, F.col("duration_ms"))
                                           .when(F.col("media_id") % 3 == 1, 0))
-    return media.runtime_fallback(known, v.findings(spark, sf).where("media_id % 2 = 0"))
+    return media.runtime_fallback(known, v.findings(spark, sf).where("category = 'nudity' AND action = 'skip' AND approved"))
 
 
 @query("fix_inverted_span", "findings", """
