@@ -69,29 +69,40 @@ def ocr_cleanup(text: Column) -> Column:
 _CHUNK = 64
 
 
-def token_offsets(tokens: Column) -> Column:
-    """Start offsets of single-spaced tokens in their line.
+def let(value: Column, body) -> Column:
+    """Evaluate ``value`` once and hand it to ``body``; inside a lambda a plain expression runs per element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def with_offsets(tokens: Column, body) -> Column:
+    """Give ``body`` the tokens and a function from a token's index to its offset in the single-spaced line.
 
-    A plain prefix sum over the array would be quadratic in its length; summing per chunk of 64 first
-    keeps a line of many thousand words cheap, still inside one row and without a shuffle.
+    A prefix sum per token would be quadratic in the length of a line. Chunks of 64 tokens are summed once,
+    so an offset costs one look-up and part of a chunk, inside the row and without a shuffle.
     """
     zero = F.lit(0).cast("bigint")
 
     def total(array: Column) -> Column:
         return F.aggregate(array, zero, lambda a, x: a + x)
 
-    widths = F.transform(tokens, lambda t: (F.length(t) + 1).cast("bigint"))
-    chunks = F.call_function("div", F.size(tokens) - 1, F.lit(_CHUNK)).cast("int")
-    per_chunk = F.transform(
-        F.sequence(F.lit(0), F.greatest(chunks, F.lit(0))),
-        lambda c: total(F.slice(widths, c * _CHUNK + 1, F.lit(_CHUNK))))
+    def sums(widths: Column) -> Column:
+        last = F.call_function("div", F.greatest(F.size(widths) - 1, F.lit(0)), F.lit(_CHUNK)).cast("int")
+        per_chunk = F.transform(F.sequence(F.lit(0), last), lambda c: total(F.slice(widths, c * _CHUNK + 1, F.lit(_CHUNK))))
+        return F.aggregate(per_chunk, F.array(zero), lambda acc, x: F.array_append(acc, F.element_at(acc, -1) + x))
 
-    def offset(_token: Column, i: Column) -> Column:
-        chunk = F.call_function("div", i, F.lit(_CHUNK)).cast("int")
-        return (total(F.slice(per_chunk, F.lit(1), chunk))
-                + total(F.slice(widths, chunk * _CHUNK + 1, i % _CHUNK)))
+    def bound(ts: Column) -> Column:
+        widths = F.transform(ts, lambda t: (F.length(t) + 1).cast("bigint"))
+        return let(widths, lambda ws: let(sums(ws), lambda before: body(ts, lambda i: (
+            F.get(before, F.call_function("div", i, F.lit(_CHUNK)).cast("int"))
+            + total(F.slice(ws, i - i % _CHUNK + 1, i % _CHUNK))))))
 
-    return F.transform(tokens, offset)
+    return let(tokens, bound)
+
+
+def token_offsets(tokens: Column) -> Column:
+    """(token, offset) pairs of a single-spaced line."""
+    return with_offsets(tokens, lambda ts, offset: F.transform(
+        ts, lambda t, i: F.struct(t.alias("token"), offset(i).alias("offset"))))
 
 
 def strip_possessive(word: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanweave.functions.lexicon import Lexicon
-from spanweave.functions.text import match_key, normalize_word, token_offsets, word_matches
+from spanweave.functions.text import match_key, normalize_word, token_offsets, with_offsets, word_matches
 from spanweave.functions.timefmt import idiv
 from spanweave.operators.scan import block_of
 
@@ -19,14 +19,11 @@ SPEECH_PAD_MS = 150
 
 def tokenize_offsets(cues: DataFrame) -> DataFrame:
     """One row per token of single-spaced cue text, with its offset in the text."""
-    split = cues.where("text <> ''").withColumn("__tokens", F.split("text", " "))
-    return split.select(
-        MEDIA, "cue_idx", F.posexplode(F.arrays_zip(
-            F.col("__tokens").alias("token"), token_offsets(F.col("__tokens")).alias("offset")))
-        .alias("token_idx", "t")).select(
-            MEDIA, "cue_idx", F.col("token_idx").cast("bigint").alias("token_idx"),
-            F.col("t.token").alias("token"), F.col("t.offset").alias("char_offset"),
-            normalize_word(F.col("t.token")).alias("norm"))
+    tokens = cues.where("text <> ''").select(
+        MEDIA, "cue_idx", F.posexplode(token_offsets(F.split("text", " "))).alias("token_idx", "t"))
+    return tokens.select(
+        MEDIA, "cue_idx", F.col("token_idx").cast("bigint").alias("token_idx"), F.col("t.token").alias("token"),
+        F.col("t.offset").alias("char_offset"), normalize_word(F.col("t.token")).alias("norm"))
 
 
 def lexicon_join(tokens: DataFrame, lexicon: DataFrame) -> DataFrame:
@@ -55,17 +52,18 @@ def flagged_words(cues: DataFrame, lexicon: Lexicon) -> DataFrame:
 
     Tokens are tested inside the row and only matches are exploded, so the text is copied for them alone.
     """
-    tokens = F.split("text", " ")
-    marked = cues.where("text <> ''").withColumn("__hits", F.filter(
-        F.transform(tokens, lambda t, i: F.struct(i.alias("i"), t.alias("raw"), normalize_word(t).alias("norm"))),
-        lambda h: lexicon.flags(h["norm"])))
-    hits = marked.where(F.size("__hits") > 0).withColumn("h", F.explode("__hits"))
-    before = F.array_join(F.slice(tokens, F.lit(1), F.col("h.i")), " ")
-    return hits.select(
-        MEDIA, "cue_idx", "start_ms", "end_ms", "text", F.col("h.i").cast("bigint").alias("token_idx"),
-        F.col("h.norm").alias("key"), F.length("h.raw").cast("bigint").alias("word_len"),
-        (F.length(before) + F.when(F.col("h.i") > 0, 1).otherwise(0)).cast("bigint").alias("char_offset"),
-        F.size(tokens).alias("n_words"))
+    def matches(tokens: Column, offset) -> Column:
+        marked = F.transform(tokens, lambda t, i: F.struct(i.alias("i"), t.alias("raw"), normalize_word(t).alias("norm")))
+        return F.transform(F.filter(marked, lambda h: lexicon.flags(h["norm"])), lambda h: F.struct(
+            h["i"].cast("bigint").alias("token_idx"), h["norm"].alias("key"),
+            F.length(h["raw"]).cast("bigint").alias("word_len"), offset(h["i"]).alias("char_offset"),
+            F.size(tokens).alias("n_words")))
+
+    hits = cues.where("text <> ''").select(
+        MEDIA, "cue_idx", "start_ms", "end_ms", "text",
+        F.explode(with_offsets(F.split("text", " "), matches)).alias("h"))
+    return hits.select(MEDIA, "cue_idx", "start_ms", "end_ms", "text", "h.token_idx", "h.key", "h.word_len", "h.char_offset",
+                       "h.n_words")
 
 
 def estimate_span(start: Column, end: Column, text_len: Column, offset: Column, word_len: Column

@@ -397,10 +397,9 @@ v.SQL["est"] = _EST
 
 def _placed(spark, sf):
     cues = v.cues(spark, sf)
-    tokens = F.split("text", " ")
-    rows = cues.withColumn("__t", tokens).select("media_id", "cue_idx", "start_ms", "end_ms", F.length("text").cast("bigint").alias("n"), F.posexplode(
-        F.arrays_zip(F.col("__t").alias("token"), tx.token_offsets(F.col("__t")).alias("off"))).alias("i", "t"))
-    a, b = dialogue.estimate_span(F.col("start_ms"), F.col("end_ms"), F.col("n"), F.col("t.off"), F.length("t.token").cast("bigint"))
+    rows = cues.select("media_id", "cue_idx", "start_ms", "end_ms", F.length("text").cast("bigint").alias("n"), F.posexplode(
+        tx.token_offsets(F.split("text", " "))).alias("i", "t"))
+    a, b = dialogue.estimate_span(F.col("start_ms"), F.col("end_ms"), F.col("n"), F.col("t.offset"), F.length("t.token").cast("bigint"))
     return rows.select("media_id", "cue_idx", F.col("i").cast("bigint").alias("token_idx"), "start_ms", "end_ms", a.alias("a"), b.alias("b"))
 
 
