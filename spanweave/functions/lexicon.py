@@ -51,6 +51,10 @@ class Lexicon:
         return ([(w, t, "exact") for w, t in seen.items()]
                 + [(p, "strong", "prefix") for p in STRONG_PREFIXES])
 
+    def match_keys(self) -> list[str]:
+        """First letters of every word that can be listed: a heard word with others matches none of them."""
+        return sorted({word.removesuffix("'s")[:3] for word, _, _ in self.rows()})
+
     def table(self, spark: SparkSession) -> DataFrame:
         return spark.createDataFrame(self.rows(), "word STRING, tier STRING, match_kind STRING")
 

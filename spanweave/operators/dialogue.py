@@ -6,9 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanweave.functions.lexicon import Lexicon
-from spanweave.functions.text import match_key, normalize_word, token_offsets, with_offsets, word_matches
+from spanweave.functions.text import let, match_key, normalize_word, with_offsets, word_matches
 from spanweave.functions.timefmt import idiv
 from spanweave.operators.scan import block_of
+from spanweave.session import stage
 
 MEDIA = "media_id"
 # Fixed values, in ms: padding, narrowest window, longest believable word, search margin, drift.
@@ -19,11 +20,15 @@ SPEECH_PAD_MS = 150
 
 def tokenize_offsets(cues: DataFrame) -> DataFrame:
     """One row per token of single-spaced cue text, with its offset in the text."""
+    def described(tokens: Column, offset) -> Column:
+        # Normalised here, a word is a plain column afterwards and not recomputed by every test of it.
+        return F.transform(tokens, lambda t, i: F.struct(
+            t.alias("token"), offset(i).alias("char_offset"), normalize_word(t).alias("norm")))
+
     tokens = cues.where("text <> ''").select(
-        MEDIA, "cue_idx", F.posexplode(token_offsets(F.split("text", " "))).alias("token_idx", "t"))
-    return tokens.select(
-        MEDIA, "cue_idx", F.col("token_idx").cast("bigint").alias("token_idx"), F.col("t.token").alias("token"),
-        F.col("t.offset").alias("char_offset"), normalize_word(F.col("t.token")).alias("norm"))
+        MEDIA, "cue_idx", F.posexplode(with_offsets(F.split("text", " "), described)).alias("token_idx", "t"))
+    return tokens.select(MEDIA, "cue_idx", F.col("token_idx").cast("bigint").alias("token_idx"), "t.token", "t.norm",
+                         "t.char_offset")
 
 
 def lexicon_join(tokens: DataFrame, lexicon: DataFrame) -> DataFrame:
@@ -95,17 +100,21 @@ def to_ms(seconds: Column) -> Column:
     return (seconds * 1000).cast("bigint")
 
 
-def cue_word_nearest(flagged: DataFrame, words: DataFrame, bin_ms: int = 10_000) -> DataFrame:
+def cue_word_nearest(flagged: DataFrame, words: DataFrame, lexicon: Lexicon | None = None,
+                     bin_ms: int = 10_000) -> DataFrame:
     """For each distinct flagged cue word, the matching heard word nearest the middle of its cue.
 
     Both sides are reduced to distinct (word, time) first, so copies do not meet. They then join on media,
-    time bin and the first letters any two matching words share; the exact conditions follow.
+    time bin and the first letters any two matching words share; the exact conditions follow. Given the
+    lexicon, words that can match none of it are dropped in the scan and the rest is staged.
     """
     asked = flagged.select(MEDIA, "start_ms", "end_ms", "key").distinct()
     # Among equal starts the first transcript word wins; equal distances go to the word first heard.
     order = F.struct("seg_idx", "word_idx")
-    heard = (words.select(MEDIA, normalize_word(F.col("word")).alias("norm"), to_ms(F.col("start_s")).alias("w_start"),
-                          to_ms(F.col("end_s")).alias("w_end"), "seg_idx", "word_idx"))
+    heard = words.select(MEDIA, normalize_word(F.col("word")).alias("norm"), to_ms(F.col("start_s")).alias("w_start"),
+                         to_ms(F.col("end_s")).alias("w_end"), "seg_idx", "word_idx")
+    if lexicon is not None:
+        heard = stage(heard.where(let(match_key(F.col("norm")), lambda k: k.isin(lexicon.match_keys()))))
     first_heard = heard.groupBy(MEDIA, "norm").agg(F.min(order).alias("norm_at"))
     heard = heard.groupBy(MEDIA, "norm", "w_start").agg(
         F.min(order).alias("word_at"), F.min_by("w_end", order).alias("w_end"))
@@ -167,7 +176,7 @@ def word_mutes(timed: DataFrame, whole_cue: bool = False) -> DataFrame:
 
 def speech_hits(words: DataFrame, lexicon: Lexicon) -> DataFrame:
     """Listed words in a transcript, padded."""
-    return words.where(lexicon.flags(normalize_word(F.col("word")))).select(
+    return words.where(let(normalize_word(F.col("word")), lexicon.flags)).select(
         MEDIA, F.greatest(to_ms(F.col("start_s")) - SPEECH_PAD_MS, F.lit(0)).alias("start_ms"),
         (to_ms(F.col("end_s")) + SPEECH_PAD_MS).alias("end_ms"), F.trim("word").alias("word"),
         F.col("probability").alias("confidence"), F.substring("seg_text", 1, 120).alias("context"),

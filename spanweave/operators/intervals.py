@@ -230,7 +230,9 @@ def _dyadic_nodes(start: Column, end: Column) -> Column:
                         F.struct(k.alias("level"), (hi - 1).alias("node")))
         return F.array_compact(F.array(first, second))
 
-    return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(_LEVELS - 1)), at_level))
+    # No aligned range inside is longer than the whole.
+    top = F.floor(F.log2((end - start).cast("double"))).cast("int")
+    return F.flatten(F.transform(F.sequence(F.lit(0), F.least(top, F.lit(_LEVELS - 1))), at_level))
 
 
 def containing_shortest(findings: DataFrame, points: DataFrame) -> DataFrame:

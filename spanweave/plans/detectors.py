@@ -14,6 +14,7 @@ from spanweave.operators import dialogue, visual
 from spanweave.operators.intervals import merge_hits
 from spanweave.operators.scan import row_rank, time_blocks, union_all
 from spanweave.schema import DETECTED_COLUMNS
+from spanweave.session import stage
 
 MEDIA = "media_id"
 Tables = Mapping[str, DataFrame]
@@ -63,17 +64,18 @@ def _as_findings(merged: DataFrame, engine: str) -> DataFrame:
 def subtitle_findings(cues: DataFrame, lexicon: Lexicon, words: DataFrame | None = None,
                       whole_cue: bool = False) -> DataFrame:
     """Listed words in cues as mute findings. ``words`` is a transcript to take exact times from."""
-    flagged = dialogue.flagged_words(cues, lexicon)
+    # Listed words are few; staged, they are found in one pass over the text instead of one per consumer.
+    flagged = stage(dialogue.flagged_words(cues, lexicon))
     nearest = None
     if words is not None and not whole_cue:
-        nearest = dialogue.cue_word_nearest(flagged, words)
+        nearest = dialogue.cue_word_nearest(flagged, words, lexicon)
     timed = dialogue.resolve_word_timing(flagged, nearest, whole_cue)
     return _as_findings(merge_hits(dialogue.word_mutes(timed, whole_cue)), "subtitles")
 
 
 def whisper_findings(words: DataFrame, lexicon: Lexicon) -> DataFrame:
     """Listed words in a transcript as mute findings."""
-    merged = merge_hits(dialogue.speech_hits(words, lexicon))
+    merged = merge_hits(stage(dialogue.speech_hits(words, lexicon)))
     return _as_findings(merged.withColumn("confidence", F.bround("confidence", 3)), "whisper")
 
 

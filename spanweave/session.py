@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 #: Runtime settings the library relies on. Partition counts are left to AQE, which starts from
 #: ``shuffle_partitions`` and coalesces or splits from the measured map output.
@@ -54,3 +54,16 @@ def shared_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path below the shared folder."""
     return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+def stage(df: DataFrame) -> DataFrame:
+    """Write a small result of a large scan once, so that several consumers do not repeat the scan.
+
+    A table in the shared folder: it outlives lost executors, and its size is known to the planner, which
+    then broadcasts it or not by measure. Streams pass through, as they cannot be staged.
+    """
+    if df.isStreaming:
+        return df
+    path = scratch_path(df.sparkSession, "stage")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -16,6 +16,12 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf: str) -> DataFrame:
+    """The documents, on every core: a small file may come as a single split, a large table does not."""
+    docs, cores = table(spark, sf, "documents"), spark.sparkContext.defaultParallelism
+    return docs.repartition(cores, "doc_id") if docs.rdd.getNumPartitions() < cores else docs
+
+
 _SPACE = (r"[\t\n\x0b\x0c\r \x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}"
           r"\x{3000}]+")
 
@@ -31,7 +37,7 @@ SQL: dict[str, str] = {}
 
 def cues(spark: SparkSession, sf: str) -> DataFrame:
     """Lines of documents, three seconds apart; blank ones are no cues."""
-    lines = table(spark, sf, "documents").select(
+    lines = documents(spark, sf).select(
         F.col("doc_id").alias("media_id"), F.posexplode(F.split("text", "\n")).alias("i", "line"))
     text = collapse_space(F.col("line"))
     return lines.select("media_id", F.col("i").cast("bigint").alias("cue_idx"), text.alias("text")).where(

@@ -140,11 +140,15 @@ f AS (SELECT media_id, seq, action, unnest(range(start_frame, end_frame)) AS fra
 g AS (SELECT media_id, frame, CASE WHEN bool_or(action = 'FULL_FRAME_BLUR') THEN 'FULL_FRAME_BLUR' ELSE 'BLACK_BOX' END AS action,
     min(seq) FILTER (action = 'FULL_FRAME_BLUR') AS full_seq FROM f GROUP BY media_id, frame),
 b AS (SELECT media_id, start_frame + seq % 3 AS frame, seq, seq % 640 AS x1 FROM v WHERE action = 'BLACK_BOX' AND start_frame + seq % 3 < end_frame)
-SELECT g.media_id, g.frame, g.action, b.seq, b.x1 FROM g LEFT JOIN b ON g.media_id = b.media_id AND g.frame = b.frame AND (full_seq IS NULL OR b.seq < full_seq)""")
+SELECT g.media_id, g.action, count(*) AS n, count(DISTINCT g.frame) AS frames, sum(g.frame)::BIGINT AS frame_sum, count(b.seq) AS boxes, sum(b.seq % 1000003)::BIGINT AS seq_sum,
+  sum(b.x1)::BIGINT AS x_sum FROM g LEFT JOIN b ON g.media_id = b.media_id AND g.frame = b.frame AND (full_seq IS NULL OR b.seq < full_seq) GROUP BY g.media_id, g.action""")
 def frame_action_join(spark, sf):
     shots = v.shots_s(spark, sf).select("media_id", "shot_index", "start_frame", "end_frame")
     seq = F.col("seq")
     box = F.struct((F.col("start_frame") + seq % 3).alias("frame_idx"), (seq % 640).alias("x1"), F.lit(0).cast("bigint").alias("y1"),
                    (seq % 640 + 10).alias("x2"), F.lit(10).cast("bigint").alias("y2"))
     boxed = v.verdicts(spark, sf).join(shots.drop("end_frame"), ["media_id", "shot_index"]).withColumn("boxes", F.array(box)).drop("start_frame")
-    return visual.frame_action_join(boxed, shots).select("media_id", "frame", "action", "seq", "x1")
+    frames = visual.frame_action_join(boxed, shots)
+    return frames.groupBy("media_id", "action").agg(
+        F.count(F.lit(1)).alias("n"), F.count_distinct("frame").alias("frames"), F.sum("frame").alias("frame_sum"), F.count("seq").alias("boxes"),
+        F.sum(F.col("seq") % 1000003).alias("seq_sum"), F.sum("x1").alias("x_sum"))
