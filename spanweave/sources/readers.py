@@ -16,10 +16,10 @@ LINE_END = r"[\n\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]"
 
 def read_documents(spark: SparkSession, path: str, suffix: str = "") -> DataFrame:
     """Whole text files as (path, text), one film's file per row."""
-    reader = spark.read.option("wholetext", True).option("recursiveFileLookup", True)
+    reader = spark.read.option("recursiveFileLookup", True)
     if suffix:
         reader = reader.option("pathGlobFilter", f"*{suffix}")
-    return reader.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    return reader.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 
 def parse_srt(documents: DataFrame, key: str = MEDIA, strip_sound_cues: bool = True) -> DataFrame:
