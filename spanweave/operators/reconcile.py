@@ -204,12 +204,15 @@ def split_findings(findings: DataFrame, cuts: DataFrame, floors: DataFrame | Non
 def union_job_timelines(job_findings: DataFrame, jobs: DataFrame, sidecars: DataFrame | None = None) -> DataFrame:
     """Findings of all jobs on one fingerprint, in start order, numbered from 1.
 
-    Only for media without a timeline of their own (``sidecars``: fingerprint).
+    Only for media without a timeline of their own (``sidecars``: fingerprint). Among equal starts the
+    newer job comes first when ``jobs`` has ``created_at``.
     """
-    owned = job_findings.join(jobs.select("job_id", "fingerprint"), "job_id")
+    dated = "created_at" in jobs.columns
+    owned = job_findings.join(jobs.select("job_id", "fingerprint", *(["created_at"] if dated else [])), "job_id")
     if sidecars is not None:
         owned = owned.join(sidecars.select("fingerprint"), "fingerprint", "left_anti")
-    order = [F.col(c) for c in ("fingerprint", "start_ms", "job_id", "id")]
+    newest = [F.col("created_at").desc()] if dated else []
+    order = [F.col("fingerprint"), F.col("start_ms"), *newest, F.col("job_id"), F.col("id")]
     ranked = global_rank(owned, order, "__pos")
     first = ranked.groupBy("fingerprint").agg(F.min("__pos").alias("__first"))
     return ranked.join(first, "fingerprint").withColumns({
