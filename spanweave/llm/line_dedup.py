@@ -51,8 +51,9 @@ def line_keep_bitmaps(scripts: DataFrame, min_chars: int = 40, min_media: int =
         F.xxhash64("key").alias("h"), F.xxhash64(F.lit(1), F.col("key")).alias("g"), "media_id", "text_key", "pos")
     staged = stage(hashed)
     ordered = staged.repartitionByRange("h", "g", "media_id").sortWithinPartitions("h", "g", F.desc("media_id"), "pos")
-    # One row per key and media off the sorted range, without another shuffle; then partial counts per key.
-    common = (ordered.groupBy("h", "g", "media_id").agg(F.lit(1).alias("one"))
+    # One row per key and media off the sorted range, without another shuffle; then partial counts per key. As a table
+    # of its own, so that the join reads both sides from shuffles that can be split at a hot line.
+    common = stage(ordered.groupBy("h", "g", "media_id").agg(F.lit(1).alias("one"))
               .groupBy("h", "g").agg(F.count(F.lit(1)).alias("media"), F.max("media_id").alias("keeper"))
               .where(F.col("media") >= min_media).select("h", "g", "keeper"))
     dropped = staged.join(common, ["h", "g"]).where(~F.col("media_id").eqNullSafe(F.col("keeper")))
