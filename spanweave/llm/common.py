@@ -41,9 +41,20 @@ def importable(df: DataFrame) -> DataFrame:
 
 def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
                 *fields: StructField, keep: tuple[str, ...] = ("media_id",)) -> DataFrame:
-    """``mapInArrow`` whose result has the kept input columns, typed as they come, and the new fields."""
+    """``mapInArrow`` whose result has the kept input columns, typed as they come, and the new fields.
+
+    ``fn`` gets batches of some megabytes, however many rows or bytes Spark sends at a time.
+    """
     schema = StructType([*[StructField(c, df.schema[c].dataType) for c in keep], *fields])
-    return importable(df).mapInArrow(fn, schema)
+    return importable(df).mapInArrow(lambda batches: fn(portions(batches)), schema)
+
+
+def portions(batches: Iterator[pa.RecordBatch], limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+    """The rows of ``batches`` in slices of about ``limit`` bytes; a larger row is a slice of its own."""
+    for batch in batches:
+        rows = max(1, min(batch.num_rows, batch.num_rows * limit // max(batch.nbytes, 1)))
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
 
 
 def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StringType, StructField, StructType
 
-from spanweave.llm.common import column_of, importable, map_batches, texts_of
+from spanweave.llm.common import column_of, importable, map_batches, portions, texts_of
 from spanweave.session import stage
 
 #: Buckets of hashed letter trigrams.
@@ -58,7 +58,7 @@ def trigram_counts(samples: DataFrame, languages: list[str]) -> DataFrame:
 
     def run(batches):
         total = {x: np.zeros(BUCKETS, np.int64) for x in languages}
-        for batch in batches:
+        for batch in portions(batches):
             for lang, text in zip(column_of(batch, "lang").to_pylist(), texts_of(batch)):
                 if lang in total:
                     total[lang] += np.bincount(trigrams(text), minlength=BUCKETS)
@@ -74,7 +74,7 @@ def trigram_counts(samples: DataFrame, languages: list[str]) -> DataFrame:
 def text_model(samples: DataFrame, languages: list[str]) -> np.ndarray:
     """Log probability of each bucket per language: ``BUCKETS`` numbers each, whatever the number of samples."""
     table = np.full((len(languages), BUCKETS), 0.5)
-    for row in trigram_counts(samples, languages).toPandas().itertuples():
+    for row in trigram_counts(samples, languages).toArrow().to_pandas().itertuples():
         table[languages.index(row.lang), row.bucket] += row.n
     return np.log(table / table.sum(axis=1, keepdims=True))
 
