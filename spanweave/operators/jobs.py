@@ -159,11 +159,12 @@ def status_for_paths(requests: DataFrame, resolved: DataFrame, jobs: DataFrame,
     named = requests.join(resolved, "path", "left").withColumn("name", base_name_key(F.col("resolved_path")))
     known = sidecars.select("name").distinct().withColumn("has_sidecar", F.lit(True))
     joined = (named.join(film_jobs(jobs), "name", "left").join(counts, "name", "left").join(known, "name", "left"))
-    analyzed = (F.coalesce("has_sidecar", F.lit(False)) | F.coalesce("just_analyzed", F.lit(False))) & F.col("total").isNotNull()
+    # A timeline on disk is enough, a film without findings has one too; a job that has just ended shows by them.
+    analyzed = F.coalesce("has_sidecar", F.lit(False)) | (F.coalesce("just_analyzed", F.lit(False)) & F.col("total").isNotNull())
     job = F.coalesce("active_job", "newest_job")
 
     def count(name: str) -> Column:
-        return F.when(analyzed, F.col(name)).otherwise(0).cast("bigint").alias(name)
+        return F.when(analyzed, F.coalesce(name, F.lit(0))).otherwise(0).cast("bigint").alias(name)
 
     return joined.select(
         "pos", "path", "resolved_path", analyzed.alias("analyzed"), count("total"), count("approved"),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanweave.functions.policy import merge_severity
@@ -22,7 +22,8 @@ def next_ids(findings: DataFrame, floors: DataFrame | None = None) -> DataFrame:
     used = findings.groupBy(MEDIA).agg(F.max("id").alias("top"))
     if floors is None:
         return used.select(MEDIA, (F.col("top") + 1).alias("next_id"))
-    return floors.join(used, MEDIA, "full").select(
+    marks = floors.groupBy(MEDIA).agg(F.max("next_segment_id").alias("next_segment_id"))  # one per media, whatever comes
+    return marks.join(used, MEDIA, "full").select(
         MEDIA, F.greatest(F.coalesce("top", F.lit(0)) + 1, F.coalesce("next_segment_id", F.lit(0))).alias("next_id"))
 
 
@@ -81,12 +82,18 @@ EDITABLE = {"approved": True, "start_ms": False, "end_ms": False, "action": Fals
 
 
 def apply_edits(findings: DataFrame, edits: DataFrame) -> DataFrame:
-    """Partial updates by (media, id): sent fields only, last one sent wins, then spans put in order.
+    """Partial updates by (media, id): sent fields only, last one sent wins; spans are put in order after each edit.
 
     ``edits`` has the editable columns, ``fields_sent`` and an ordering ``seq``. Edits are reduced per
-    finding before they meet the findings.
+    finding before they meet the findings; only those that send a start or an end are kept in order.
     """
-    fields = [f for f in EDITABLE if f in edits.columns]
+    ends = [f for f in ("start_ms", "end_ms") if f in edits.columns]
+    fields = [f for f in EDITABLE if f in edits.columns and f not in ends]
+
+    def moved(field: str) -> Column:
+        if field not in ends:
+            return F.lit(None).cast("bigint").alias(field)
+        return F.when(F.array_contains("fields_sent", field), F.greatest(F.col(field), F.when(F.col(field).isNotNull(), 0))).cast("bigint").alias(field)
 
     def latest(field: str) -> Column:
         sent = F.array_contains("fields_sent", field)
@@ -94,21 +101,30 @@ def apply_edits(findings: DataFrame, edits: DataFrame) -> DataFrame:
             sent = sent & F.col(field).isNotNull()
         return F.max_by(F.struct(F.col(field).alias("v")), F.when(sent, F.col("seq"))).alias(f"new_{field}")
 
-    reduced = edits.groupBy(MEDIA, "id").agg(*[latest(f) for f in fields])
+    move = F.struct("seq", moved("start_ms"), moved("end_ms"))
+    moves = F.array_sort(F.collect_list(F.when(move["start_ms"].isNotNull() | move["end_ms"].isNotNull(), move)))
+    reduced = edits.groupBy(MEDIA, "id").agg(F.min("seq").alias("first_seq"), moves.alias("moves"), *[latest(f) for f in fields])
     joined = findings.join(reduced.withColumn("edited", F.lit(True)), [MEDIA, "id"], "left")
 
     def value(field: str) -> Column:
         new = F.col(f"new_{field}")["v"]
         if field == "reasoning":
             new = F.coalesce(new, F.lit(""))
-        if field in ("start_ms", "end_ms"):
-            new = F.greatest(new, F.lit(0).cast("bigint"))
         return F.when(F.col(f"new_{field}").isNotNull(), new).otherwise(F.col(field))
 
     out = joined.withColumns({f: value(f) for f in fields})
-    a, b = F.least("start_ms", "end_ms"), F.greatest("start_ms", "end_ms")
-    return out.withColumns({"start_ms": F.when(F.col("edited"), a).otherwise(F.col("start_ms")),
-                            "end_ms": F.when(F.col("edited"), b).otherwise(F.col("end_ms"))}).select(findings.columns)
+
+    def ordered(a: Column, b: Column) -> Column:
+        return F.struct(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
+
+    def step(span: Column, m: Column) -> Column:
+        return ordered(F.coalesce(m["start_ms"], span["a"]), F.coalesce(m["end_ms"], span["b"]))
+
+    # An edit of another field comes first: it has put the span in order before any end moves.
+    as_is = F.struct(F.col("start_ms").alias("a"), F.col("end_ms").alias("b"))
+    first = F.when(F.col("first_seq") < F.coalesce(F.get("moves", F.lit(0))["seq"], F.col("first_seq") + 1), ordered(as_is["a"], as_is["b"])).otherwise(as_is)
+    span = F.when(F.col("edited"), F.aggregate("moves", first, step)).otherwise(as_is)
+    return out.withColumn("span", span).withColumns({"start_ms": F.col("span.a"), "end_ms": F.col("span.b")}).select(findings.columns)
 
 
 def set_approvals(findings: DataFrame, ids: DataFrame, approved: bool | None) -> DataFrame:
@@ -178,21 +194,22 @@ def mergeable_groups(findings: DataFrame, picks: DataFrame) -> DataFrame:
 
 def split_findings(findings: DataFrame, cuts: DataFrame, floors: DataFrame | None = None,
                    bin_ms: int = BLOCK_MS, edge_ms: int = 100) -> DataFrame:
-    """Cut the first finding that holds each ``(media_id, t_ms)`` well inside; the second half is appended.
+    """Cut the first finding that holds each ``(media_id, t_ms)`` well inside; the pieces behind a cut are appended.
 
-    A finding hit by several cuts is split at the earliest; cuts are one user action each.
+    A finding hit by k cuts becomes k + 1 pieces in order; the first one keeps the id.
     """
     asked = cuts.select(MEDIA, "t_ms").distinct().withColumn("__bin", block_of("t_ms", bin_ms))
     inner = findings.where(F.col("end_ms") - F.col("start_ms") > 2 * edge_ms)
     reach = bins(inner.select(MEDIA, "id", "start_ms", "end_ms"), F.col("start_ms"), F.col("end_ms"), bin_ms)
     hit = (reach.join(asked, [MEDIA, "__bin"])
            .where((F.col("t_ms") > F.col("start_ms") + edge_ms) & (F.col("t_ms") < F.col("end_ms") - edge_ms))
-           .groupBy(MEDIA, "t_ms").agg(F.min(F.struct("start_ms", "id"))["id"].alias("id"))
-           .groupBy(MEDIA, "id").agg(F.min("t_ms").alias("cut_ms")))
-    joined = findings.join(hit, [MEDIA, "id"], "left")
-    first = joined.withColumn("end_ms", F.coalesce("cut_ms", "end_ms")).select(FINDING_COLUMNS)
-    second = joined.where("cut_ms is not null").select(
-        MEDIA, F.col("cut_ms").alias("start_ms"), "end_ms", "category", "action", "approved",
+           .groupBy(MEDIA, "t_ms").agg(F.min(F.struct("start_ms", "id"))["id"].alias("id")))
+    along = Window.partitionBy(MEDIA, "id").orderBy("t_ms")
+    pieces = hit.select(MEDIA, "id", F.col("t_ms").alias("cut_ms"), F.lead("t_ms").over(along).alias("next_ms"))
+    first_cut = hit.groupBy(MEDIA, "id").agg(F.min("t_ms").alias("cut_ms"))
+    first = findings.join(first_cut, [MEDIA, "id"], "left").withColumn("end_ms", F.coalesce("cut_ms", "end_ms")).select(FINDING_COLUMNS)
+    second = findings.join(pieces, [MEDIA, "id"]).select(
+        MEDIA, F.col("cut_ms").alias("start_ms"), F.coalesce("next_ms", "end_ms").alias("end_ms"), "category", "action", "approved",
         F.coalesce("reasoning", F.lit("")).alias("reasoning"), F.col("cut_ms").alias("seq"), "id")
     # Two findings may be cut at the same instant, so the new ids follow (cut, old id).
     ranked = running(second, [MEDIA], ["seq", "id"], [("seq", block_of("seq", BLOCK_MS))],

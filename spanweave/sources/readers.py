@@ -50,14 +50,14 @@ def parse_transcripts(documents: DataFrame, key: str = MEDIA) -> DataFrame:
 
 
 def parse_timelines(documents: DataFrame, key: str = MEDIA) -> tuple[DataFrame, DataFrame]:
-    """Timeline JSON to findings and one header row per document; an absent next id reads as 0."""
+    """Timeline JSON to findings and one header row per media, however many pages it has; an absent next id reads as 0."""
     doc = documents.select(key, F.from_json("json", TIMELINE_JSON).alias("d"))
     findings = doc.select(key, F.explode("d.segments").alias("s")).select(
         key, "s.id", F.col("s.startMs").alias("start_ms"), F.col("s.endMs").alias("end_ms"), "s.category",
         "s.confidence", "s.engine", F.coalesce("s.recommendedAction", F.lit("blur")).alias("action"), "s.approved",
         "s.reasoning", F.col("s.engineRef").alias("engine_ref"))
-    headers = doc.select(key, F.col("d.mediaFingerprint").alias("fingerprint"),
-                         F.coalesce("d.nextSegmentId", F.lit(0)).alias("next_segment_id"))
+    headers = doc.groupBy(key).agg(F.max("d.mediaFingerprint").alias("fingerprint"),
+                                   F.max(F.coalesce("d.nextSegmentId", F.lit(0))).alias("next_segment_id"))
     return findings, headers
 
 

@@ -35,7 +35,8 @@ def nest_timeline(findings: DataFrame, headers: DataFrame | None = None, page: i
     """One timeline document per film in start order, with the next free id.
 
     A film beyond ``page`` findings continues in further pages, each a row of its own, so nothing is cut
-    and no group is collected without a bound.
+    and no group is collected without a bound. ``headers`` (``media_id``, ``fingerprint``, ``next_segment_id``): the next
+    id never falls below theirs, and a film of theirs without findings has an empty document.
     """
     # Equal starts are numbered by id: positions come from per-start counts plus a rank inside the start.
     starts = row_rank_of_starts(findings)
@@ -56,7 +57,12 @@ def nest_timeline(findings: DataFrame, headers: DataFrame | None = None, page: i
     top = findings.groupBy(MEDIA).agg((F.max("id") + 1).alias("next_segment_id"))
     out = pages.join(top, MEDIA)
     if headers is not None:
-        return out.join(headers.select(MEDIA, "fingerprint"), MEDIA, "left")
+        mark = F.max("next_segment_id") if "next_segment_id" in headers.columns else F.lit(None).cast("bigint")
+        known = headers.groupBy(MEDIA).agg(F.max("fingerprint").alias("fingerprint"), mark.alias("__mark"))
+        return out.join(known, MEDIA, "full").select(
+            MEDIA, F.coalesce("page", F.lit(0)).cast(out.schema["page"].dataType).alias("page"),
+            F.coalesce("segments", F.array().cast(out.schema["segments"].dataType)).alias("segments"),
+            F.greatest(F.coalesce("next_segment_id", F.lit(1)), F.coalesce("__mark", F.lit(0))).alias("next_segment_id"), "fingerprint")
     return out.withColumn("fingerprint", F.lit(None).cast("string"))
 
 

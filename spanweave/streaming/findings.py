@@ -7,37 +7,32 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanweave.operators.intervals import burst_aggregates, burst_label
-from spanweave.operators.reconcile import merge_reanalysis
+from spanweave.operators.intervals import merge_hits
+from spanweave.operators.reconcile import high_water, merge_reanalysis
 from spanweave.operators.visual import Scorer, sample_key, score_samples
 from spanweave.schema import FINDING_COLUMNS
-from spanweave.streaming.state import KeyedLog, run_available
+from spanweave.streaming.state import KeyedLog, run_available, write_epoch
 
 MEDIA = "media_id"
 
 
-def session_bursts(hits: DataFrame, gap_ms: int = 750, delay: str | None = "10 minutes") -> DataFrame:
-    """Bursts of hits as session windows: each hit keeps its session open until its own end plus the gap.
+def stream_merge_hits(hits: DataFrame, path: str, checkpoint: str, gap_ms: int = 750) -> KeyedLog:
+    """Bursts of all hits that have arrived, whatever the order of arrival.
 
-    ``hits`` has ``ts``, the start as a timestamp. In append mode a burst is final once the watermark has
-    passed it; what arrives later than ``delay`` is dropped, as for any watermarked aggregate.
+    The media clock starts anew with each film, so it is no event time and carries no watermark. An epoch keeps its
+    hits and merges those of the media it touches again; the log's latest rows are the bursts.
     """
-    timed = hits if delay is None or not hits.isStreaming else hits.withWatermark("ts", delay)
-    # A session ends before its end instant, and the gap is inclusive: one microsecond more closes it.
-    keep_open = F.concat(((F.col("end_ms") - F.col("start_ms") + gap_ms) * 1000 + 1).cast("string"), F.lit(" microseconds"))
-    sessions = timed.groupBy(MEDIA, F.session_window("ts", keep_open)).agg(
-        F.min("start_ms").alias("start_ms"), *burst_aggregates())
-    return sessions.select(MEDIA, "start_ms", "end_ms", *burst_label())
+    spark = hits.sparkSession
+    log = KeyedLog(spark, f"{path}/bursts", [MEDIA])
 
-
-def stream_merge_hits(hits: DataFrame, path: str, checkpoint: str, gap_ms: int = 750, delay: str | None = "10 minutes",
-                      mode: str = "append") -> None:
-    """Write bursts as they close. ``complete`` rewrites all of them each time, for replays of bounded input."""
     def each(batch: DataFrame, epoch: int) -> None:
-        folder = path if mode == "complete" else f"{path}/epoch={epoch}"
-        batch.write.mode("overwrite").parquet(folder)
+        write_epoch(batch, f"{path}/hits", epoch)
+        arrived = spark.read.schema(batch.schema).parquet(*[f"{path}/hits/epoch={e}" for e in range(epoch + 1)])
+        touched = spark.read.parquet(f"{path}/hits/epoch={epoch}").select(MEDIA).distinct()
+        log.write(epoch, merge_hits(arrived.join(touched, MEDIA, "left_semi"), gap_ms=gap_ms))
 
-    run_available(session_bursts(hits, gap_ms, delay), each, checkpoint, mode)
+    run_available(hits, each, checkpoint)
+    return log
 
 
 def stream_incremental_reanalysis(fresh: DataFrame, prior: DataFrame, path: str, checkpoint: str,
@@ -45,9 +40,11 @@ def stream_incremental_reanalysis(fresh: DataFrame, prior: DataFrame, path: str,
     """Reconcile arriving detector output with the findings table, rewriting only the media it touches.
 
     A micro-batch replaces, per media, the engines it carries. Returns the log whose latest rows, with
-    ``prior`` for media never touched, are the table.
+    ``prior`` for media never touched, are the table. The next free ids are a log of their own beside it, so no id
+    is given out twice, also if the finding that had it is gone.
     """
     log = KeyedLog(fresh.sparkSession, path, [MEDIA])
+    ids = KeyedLog(fresh.sparkSession, f"{path}-ids", [MEDIA])
 
     def each(batch: DataFrame, epoch: int) -> None:
         touched = batch.select(MEDIA).distinct()
@@ -57,8 +54,14 @@ def stream_incremental_reanalysis(fresh: DataFrame, prior: DataFrame, path: str,
             done = earlier.select(MEDIA).distinct()
             known = known.join(done, MEDIA, "left_anti").select(FINDING_COLUMNS).unionByName(
                 earlier.join(touched, MEDIA, "left_semi").select(FINDING_COLUMNS))
+        given = ids.before(epoch)
+        if given is not None:
+            marks = given if marks is None else marks.select(MEDIA, "next_segment_id").unionByName(given)
+        # What the table held counts too, though this run may replace it.
+        marks = high_water(known, None if marks is None else marks.join(touched, MEDIA, "left_semi"))
         ran = batch.select(MEDIA, "engine").distinct()
         log.write(epoch, merge_reanalysis(known, batch, ran, marks))
+        ids.write(epoch, high_water(log.at(epoch), marks))
 
     run_available(fresh, each, checkpoint)
     return log

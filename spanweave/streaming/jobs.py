@@ -13,8 +13,9 @@ from spanweave.functions.review import TERMINAL
 from spanweave.functions.schedule import Schedule, schedule_allowed
 from spanweave.functions.timefmt import fmt_clock, progress_decile
 from spanweave.operators.intervals import islands
-from spanweave.operators.reconcile import assign_ids, high_water
-from spanweave.operators.scan import Running, id_blocks, running, time_blocks
+from spanweave.operators.reconcile import create_findings, high_water
+from spanweave.operators.scan import Running, id_blocks, running, time_blocks, union_all
+from spanweave.schema import FINDING
 from spanweave.streaming.state import KeyedLog, run_available, write_epoch
 
 
@@ -43,21 +44,21 @@ def stream_progress_state(ticks: DataFrame, path: str, checkpoint: str) -> None:
 def decile_alerts(ticks: DataFrame, before: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Ticks that cross a new tenth or change stage, and the marks per job they leave.
 
-    ``before``: (job_id, decile, stage) left by earlier ticks.
+    A job that was cancelled gives no more alerts. ``before``: (job_id, decile, stage, stopped) left by earlier ticks.
     """
     rows = ticks.select("job_id", "seq", progress_decile(F.col("fraction")).alias("decile"),
-                        F.when(F.col("stage") != "", F.col("stage")).alias("stage"), F.lit(False).alias("mark"))
+                        F.when(F.col("stage") != "", F.col("stage")).alias("stage"), (F.col("status") == "cancelled").alias("stopped"), F.lit(False).alias("mark"))
     if before is not None:
-        lead = before.select("job_id", F.lit(-1).cast("bigint").alias("seq"), "decile", "stage", F.lit(True).alias("mark"))
+        lead = before.select("job_id", F.lit(-1).cast("bigint").alias("seq"), "decile", "stage", "stopped", F.lit(True).alias("mark"))
         rows = lead.unionByName(rows)
     seen = running(rows, ["job_id"], ["seq"], id_blocks("seq"), top=Running("max", F.col("decile")),
-                   last_stage=Running("last", F.col("stage")))
+                   last_stage=Running("last", F.col("stage")), over=Running("max", F.col("stopped")))
     crossed = F.col("decile") > F.coalesce("top", F.lit(-1))
     moved = F.col("stage").isNotNull() & ~F.col("stage").eqNullSafe(F.col("last_stage"))
-    alerts = seen.where(~F.col("mark") & (crossed | moved)).select(
+    alerts = seen.where(~F.col("mark") & ~F.coalesce("over", F.lit(False)) & (crossed | moved)).select(
         "job_id", "seq", F.when(crossed, "decile").otherwise("stage").alias("kind"), "decile",
         F.coalesce("stage", "last_stage", F.lit("")).alias("stage"))
-    marks = rows.groupBy("job_id").agg(F.max("decile").alias("decile"), F.max(
+    marks = rows.groupBy("job_id").agg(F.max("decile").alias("decile"), F.coalesce(F.max("stopped"), F.lit(False)).alias("stopped"), F.max(
         F.when(F.col("stage").isNotNull(), F.struct("seq", "stage")))["stage"].alias("stage"))
     return alerts, marks
 
@@ -130,17 +131,17 @@ def flag_moments(flags: DataFrame, pad_ms: int = 1500, approved: bool | None = T
 
 
 def stream_flag_moments(flags: DataFrame, path: str, checkpoint: str, pad_ms: int = 1500,
-                        approved: bool | None = True) -> None:
-    """Append flagged moments with ids that go on where the media's last epoch ended. ``flags`` has ``seq``."""
+                        approved: bool | None = True, floors: DataFrame | None = None) -> None:
+    """Append flagged moments as findings, with ids that go on where the media's table (``floors``: its next free id)
+    or its last epoch ended. ``flags`` has ``seq``."""
+    spark = flags.sparkSession
     log = KeyedLog(flags.sparkSession, f"{path}/ids", ["media_id"])
 
     def each(batch: DataFrame, epoch: int) -> None:
-        floors = log.before(epoch)
-        made = flag_moments(batch, pad_ms, approved)
-        none_yet = made.limit(0).select("media_id", F.lit(0).cast("bigint").alias("id"))
-        write_epoch(assign_ids(made, none_yet, floors), f"{path}/findings", epoch)
-        written = batch.sparkSession.read.parquet(f"{path}/findings/epoch={epoch}")
-        log.write(epoch, high_water(written))
+        marks = [m.select("media_id", "next_segment_id") for m in (floors, log.before(epoch)) if m is not None]
+        made = create_findings(spark.createDataFrame([], FINDING), flag_moments(batch, pad_ms, approved), union_all(marks) if marks else None)
+        write_epoch(made, f"{path}/findings", epoch)
+        log.write(epoch, high_water(spark.read.parquet(f"{path}/findings/epoch={epoch}")))
 
     run_available(flags, each, checkpoint)
 

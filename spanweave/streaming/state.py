@@ -40,6 +40,15 @@ class KeyedLog:
         last = rows.groupBy(*self.keys).agg(F.max("__epoch").alias("__epoch"))
         return rows.join(last, [*self.keys, "__epoch"], "left_semi").drop("__epoch")
 
+    def at(self, epoch: int) -> DataFrame:
+        """What an epoch has written."""
+        return self.spark.read.parquet(self._folder(epoch))
+
+    def latest(self) -> DataFrame:
+        """The newest rows of each key over all epochs, for a reader that does not know the last one."""
+        rows = self.spark.read.parquet(self.path)
+        return rows.join(rows.groupBy(*self.keys).agg(F.max("epoch").alias("epoch")), [*self.keys, "epoch"], "left_semi").drop("epoch")
+
     def write(self, epoch: int, changed: DataFrame) -> None:
         rows = changed
         earlier = self.before(epoch) if epoch % self.every == 0 else None

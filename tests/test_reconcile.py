@@ -44,6 +44,28 @@ def test_edits(spark, findings):
     assert got == {1: (1000, 2000, "blur", None), 2: (4000, 9000, "skip", True), 3: (5000, 6000, "mute", False), 4: (0, 7000, "skip", None), 5: (9000, 9900, "skip", True)}
 
 
+def test_spans_are_put_in_order_after_each_edit(spark, findings):
+    edits = spark.createDataFrame([(1, 1, 1, ["start_ms"], 2100, None), (1, 1, 2, ["end_ms"], None, 2070), (1, 2, 3, ["start_ms", "end_ms"], 9, 5), (1, 2, 4, ["start_ms"], None, None)],
+                                  "media_id long, id long, seq long, fields_sent array<string>, start_ms long, end_ms long")
+    got = {r.id: (r.start_ms, r.end_ms) for r in rc.apply_edits(findings, edits).collect()}
+    assert got[1] == (2000, 2070) and got[2] == (5, 9)
+
+
+def test_every_cut_counts(spark, findings):
+    cuts = spark.createDataFrame([(1, 3300), (1, 3500), (1, 3700)], "media_id long, t_ms long")
+    got = {r.id: (r.start_ms, r.end_ms) for r in rc.split_findings(findings, cuts).collect()}
+    assert got[2] == (3000, 3300) and [got[i] for i in (6, 7, 8)] == [(3300, 3500), (3500, 3700), (3700, 4000)]
+
+
+def test_paged_headers_and_films_without_findings(spark, findings):
+    from spanweave.sources import readers as rd
+    from spanweave.sources import sinks as sk
+    headers = spark.createDataFrame([(1, "fp", 50), (2, "empty", 7)], "media_id long, fingerprint string, next_segment_id long")
+    back, heads = rd.parse_timelines(sk.timeline_json(sk.nest_timeline(findings, headers, page=2)))
+    assert rows(heads) == [(1, "fp", 50), (2, "empty", 7)] and back.count() == findings.count()
+    assert rows(rc.next_ids(findings, heads.union(heads))) == [(1, 50), (2, 7)]
+
+
 def test_merge_split_create_delete(spark, findings):
     picks = spark.createDataFrame([(1, 1, 1), (1, 1, 2), (1, 2, 5), (1, 2, 77)], "media_id long, merge_id long, id long")
     merged = {r.id: r for r in rc.merge_into_one(findings, picks).collect()}

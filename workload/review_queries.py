@@ -141,14 +141,14 @@ def mergeable_groups(spark, sf):
 
 
 SQL["split"] = """
-struck AS (SELECT media_id, id, min(t_ms) AS cut_ms FROM (SELECT c.media_id, c.t_ms, first(f.id ORDER BY f.start_ms, f.id) AS id
+struck AS (SELECT media_id, id, t_ms AS cut_ms, lead(t_ms) OVER (PARTITION BY media_id, id ORDER BY t_ms) AS next_ms, min(t_ms) OVER (PARTITION BY media_id, id) AS first_ms FROM (SELECT c.media_id, c.t_ms, first(f.id ORDER BY f.start_ms, f.id) AS id
     FROM (SELECT DISTINCT media_id, t_ms + 3600000 AS t_ms FROM flags) c JOIN findings f ON f.media_id = c.media_id AND c.t_ms > f.start_ms + 100 AND c.t_ms < f.end_ms - 100
-    GROUP BY c.media_id, c.t_ms) GROUP BY media_id, id)"""
+    GROUP BY c.media_id, c.t_ms))"""
 
 
 @query("split_findings", "findings media floors flags split free_all", f"""
-SELECT {_COLS.replace('end_ms', 'coalesce(cut_ms, end_ms) AS end_ms', 1)} FROM findings LEFT JOIN struck USING (media_id, id) UNION ALL
-SELECT media_id, next_id + row_number() OVER (PARTITION BY media_id ORDER BY cut_ms, id) - 1, cut_ms, end_ms, category, 1.0::DOUBLE, 'manual', action, approved,
+SELECT {_COLS.replace('end_ms', 'coalesce(first_ms, end_ms) AS end_ms', 1)} FROM findings LEFT JOIN (SELECT DISTINCT media_id, id, first_ms FROM struck) USING (media_id, id) UNION ALL
+SELECT media_id, next_id + row_number() OVER (PARTITION BY media_id ORDER BY cut_ms, id) - 1, cut_ms, coalesce(next_ms, end_ms), category, 1.0::DOUBLE, 'manual', action, approved,
   reasoning, NULL FROM findings JOIN struck USING (media_id, id) JOIN free_all USING (media_id)""")
 def split_findings(spark, sf):
     cuts = v.flags(spark, sf).select("media_id", (F.col("t_ms") + 3_600_000).alias("t_ms"))
@@ -467,9 +467,9 @@ film_marks AS (SELECT DISTINCT replace(name, '.timeline.json', e) AS name FROM s
 
 
 @query("status_for_paths", "files jobs findings idx sidecars asked status", """
-SELECT a.pos, a.path, r.resolved_path, ok AS analyzed, CASE WHEN ok THEN total ELSE 0 END AS total, CASE WHEN ok THEN approved ELSE 0 END AS approved,
-  CASE WHEN ok THEN rejected ELSE 0 END AS rejected, CASE WHEN ok THEN pending ELSE 0 END AS pending, job_id, job_status, coalesce(active, 0) AS active, coalesce(engines_done, '') AS engines_done
-FROM asked a JOIN (SELECT *, (m.name IS NOT NULL OR coalesce(done, false)) AND total IS NOT NULL AS ok FROM resolved r
+SELECT a.pos, a.path, r.resolved_path, ok AS analyzed, CASE WHEN ok THEN coalesce(total, 0) ELSE 0 END AS total, CASE WHEN ok THEN coalesce(approved, 0) ELSE 0 END AS approved,
+  CASE WHEN ok THEN coalesce(rejected, 0) ELSE 0 END AS rejected, CASE WHEN ok THEN coalesce(pending, 0) ELSE 0 END AS pending, job_id, job_status, coalesce(active, 0) AS active, coalesce(engines_done, '') AS engines_done
+FROM asked a JOIN (SELECT *, m.name IS NOT NULL OR (coalesce(done, false) AND total IS NOT NULL) AS ok FROM resolved r
   LEFT JOIN film_state j ON j.name = lower(split_part(r.resolved_path, '/', -1)) LEFT JOIN film_counts c ON c.name = lower(split_part(r.resolved_path, '/', -1))
   LEFT JOIN film_marks m ON m.name = lower(split_part(r.resolved_path, '/', -1))) r USING (path)""")
 def status_for_paths(spark, sf):

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanweave.operators.jobs import upsert_latest
+from spanweave.operators.reconcile import high_water
 from spanweave.session import scratch_path
 from spanweave.streaming import findings as sf_
 from spanweave.streaming import jobs as sj
@@ -20,17 +19,23 @@ from workload.visual_queries import _load_stub
 SQL = v.SQL
 
 
-def stream_of(view, spark: SparkSession, sf: str, name: str) -> DataFrame:
-    """A derived view over a table that is read as a stream of files."""
+def stream_of(view, spark: SparkSession, sf: str, name: str, by: str = "event_id") -> DataFrame:
+    """A derived view over a table that arrives as a stream of files, in three micro-batches along ``by``."""
+    whole, folder = spark.read.parquet(f"{sf}/{name}.parquet"), scratch_path(spark, "arrivals")
+    at = F.expr(f"cast({by} as double)")
+    low, high = whole.agg(F.min(at), F.max(at)).first()
+    third = F.least(F.floor((at - low) / ((high - low) or 1.0) * 3), F.lit(2))
+    for part in range(3):  # one after the other, as files arrive in the order of their times
+        whole.where(third == part).write.mode("append").parquet(folder)
+    files = max(1, -(-len(spark.read.parquet(folder).inputFiles()) // 3))
+
     class _Stream:
         """Stands in for the session inside a view, so that one definition serves both forms."""
         def __init__(self):
             self.read = self
 
         def parquet(self, path: str) -> DataFrame:
-            schema = spark.read.parquet(path).schema
-            return (spark.readStream.schema(schema).option("maxFilesPerTrigger", 16)
-                    .option("pathGlobFilter", os.path.basename(path)).parquet(os.path.dirname(path)))
+            return spark.readStream.schema(whole.schema).option("maxFilesPerTrigger", files).parquet(folder)
 
     return view(_Stream(), sf)
 
@@ -44,10 +49,9 @@ def _folder(spark: SparkSession, label: str) -> tuple[str, str]:
 def stream_merge_hits(spark, sf):
     found = stream_of(v.findings, spark, sf, "events")
     hits = found.select("media_id", "start_ms", (F.col("start_ms") + F.expr("(end_ms - start_ms) div 20")).alias("end_ms"), F.col("category").alias("word"),
-                        "confidence", F.col("reasoning").alias("context"), F.col("id").alias("seq"), F.timestamp_millis("start_ms").alias("ts"))
+                        "confidence", F.col("reasoning").alias("context"), F.col("id").alias("seq"))
     out, checkpoint = _folder(spark, "bursts")
-    sf_.stream_merge_hits(hits, out, checkpoint, mode="complete")
-    return spark.read.parquet(out)
+    return sf_.stream_merge_hits(hits, out, checkpoint).latest()
 
 
 _STATE = """
@@ -71,7 +75,8 @@ def stream_progress_state(spark, sf):
 _ALERTS = """
 SELECT job_id, seq, CASE WHEN decile > coalesce(top, -1) THEN 'decile' ELSE 'stage' END AS kind, decile, stage FROM (SELECT *,
     max(decile) OVER (PARTITION BY job_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top, lag(stage) OVER (PARTITION BY job_id ORDER BY seq) AS prev
-  FROM (SELECT job_id, seq, stage, trunc(round_even(fraction, 4) * 10)::INT AS decile FROM ticks)) WHERE decile > coalesce(top, -1) OR prev IS NULL OR stage <> prev"""
+  FROM (SELECT job_id, seq, stage, trunc(round_even(fraction, 4) * 10)::INT AS decile FROM ticks LEFT JOIN
+    (SELECT job_id, min(seq) AS stop FROM ticks WHERE status = 'cancelled' GROUP BY job_id) USING (job_id) WHERE stop IS NULL OR seq <= stop)) WHERE decile > coalesce(top, -1) OR prev IS NULL OR stage <> prev"""
 
 
 @query("decile_alerts", "ticks", _ALERTS)
@@ -102,24 +107,26 @@ def miss_suppression(spark, sf):
 @query("stream_miss_suppression", "", _RECHECKS)
 def stream_miss_suppression(spark, sf):
     out, checkpoint = _folder(spark, "polls")
-    sj.stream_miss_suppression(stream_of(v.polls, spark, sf, "events"), out, checkpoint)
+    sj.stream_miss_suppression(stream_of(v.polls, spark, sf, "events", "cast(ts as timestamp)"), out, checkpoint)
     return spark.read.parquet(f"{out}/rechecks").drop("epoch")
 
 
-@query("stream_flag_moments", "findings flags", """
-SELECT media_id, row_number() OVER (PARTITION BY media_id ORDER BY flag_id) AS id, greatest(t_ms - 1500, 0) AS start_ms, t_ms + 1500 AS end_ms, 'manual' AS category,
+@query("stream_flag_moments", "findings media floors flags free_all", """
+SELECT media_id, next_id + row_number() OVER (PARTITION BY media_id ORDER BY flag_id) - 1 AS id, greatest(t_ms - 1500, 0) AS start_ms, t_ms + 1500 AS end_ms, 'manual' AS category,
   'skip' AS action, true AS approved, 'Flagged during playback at ' || CASE WHEN t_ms >= 3600000 THEN (t_ms // 3600000) || ':' ELSE '' END ||
-  printf('%02d:%02d', t_ms // 60000 % 60, t_ms // 1000 % 60) AS reasoning FROM flags""")
+  printf('%02d:%02d', t_ms // 60000 % 60, t_ms // 1000 % 60) AS reasoning, 'manual' AS engine, 1.0::DOUBLE AS confidence, NULL::VARCHAR AS engine_ref
+FROM flags JOIN free_all USING (media_id)""")
 def stream_flag_moments(spark, sf):
     out, checkpoint = _folder(spark, "flags")
     flags = stream_of(v.flags, spark, sf, "events").withColumnRenamed("flag_id", "seq")
-    sj.stream_flag_moments(flags, out, checkpoint)
+    from workload.review_queries import floors
+    sj.stream_flag_moments(flags, out, checkpoint, floors=high_water(v.findings(spark, sf), floors(spark, sf)))
     return spark.read.parquet(f"{out}/findings").drop("epoch")
 
 
 SQL["kept_ran"] = """
 kept_ran AS (SELECT * FROM prior p WHERE NOT EXISTS (SELECT 1 FROM fresh f WHERE f.media_id = p.media_id AND f.engine = p.engine))"""
-SQL["free_ran"] = free_sql("free_ran", "kept_ran")
+SQL["free_ran"] = free_sql("free_ran", "prior")
 
 
 @query("stream_incremental_reanalysis", "findings media prior_fresh floors carried kept_ran free_ran", f"""
@@ -129,8 +136,8 @@ def stream_incremental_reanalysis(spark, sf):
     from workload.review_queries import floors
     out, checkpoint = _folder(spark, "reanalysis")
     prior = v.prior(spark, sf)
-    sf_.stream_incremental_reanalysis(stream_of(v.fresh, spark, sf, "events"), prior, out, checkpoint, floors(spark, sf))
-    changed = spark.read.parquet(out).drop("epoch")
+    log = sf_.stream_incremental_reanalysis(stream_of(v.fresh, spark, sf, "events", "user_id"), prior, out, checkpoint, floors(spark, sf))
+    changed = log.latest()
     return changed.unionByName(prior.join(changed.select("media_id").distinct(), "media_id", "left_anti"))
 
 
@@ -140,8 +147,8 @@ def stream_resume(spark, sf):
     """Run, then restart on the same checkpoint: nothing is scored twice."""
     from spanweave.functions.policy import OBSERVATIONS
     home = scratch_path(spark, "scores")
+    bare = stream_of(v.samples, spark, sf, "lineitem", "l_orderkey").drop(*OBSERVATIONS, "description")
     for _ in range(2):
-        bare = stream_of(v.samples, spark, sf, "lineitem").drop(*OBSERVATIONS, "description")
         answers = sf_.stream_scores(bare, _load_stub, home, "m1", "d1")
     return spark.read.parquet(answers).select("media_id", "shot_index", "at_ms", "sex_act", "model", "sample_key")
 
