@@ -31,9 +31,9 @@ SPLIT = (r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{
 #: A space next to other white space: there a text can't be cut at its spaces.
 _RAGGED = re.compile(r"\s | \s")
 #: Entries a worker remembers at most per table, then it starts afresh. About 200 bytes each.
-REMEMBERED = 500_000
+REMEMBERED = 250_000
 #: Characters encoded together; their new pieces are encoded in order.
-_SLICE = 4 << 20
+_SLICE = 2 << 20
 #: Marks an added token among pieces; no text holds this surrogate.
 _ADDED = "\udfff"
 
