@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanweave.operators.scan import Running, running
+from spanweave.session import stage
 
 START, END = "<|im_start|>", "<|im_end|>"
 #: A line feed inside a role, which ends a role otherwise. Escaped texts hold no such string.
@@ -68,7 +69,7 @@ def format_dialogues(turns: DataFrame, budget: int = 1024, history: int = 192, s
     rows = each.withColumns({"at": at, "tokens": turn_tokens(F.col("text"))})
     sums = _summed(rows, ["at", "role", "text", "copy"])
     first = (F.col("place") == 0) & (F.col("role") == "system")
-    placed = sums.withColumn("is_system", first)
+    placed = stage(sums.withColumn("is_system", first))  # five parts of a window are read from it
     stretch = F.expr(f"before div {span}")
     last = F.expr(f"(before + tokens - 1) div {span}")
     # Even numbers: turns within a stretch; odd ones: a turn across the cut behind it.
