@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanweave.llm import line_dedup, ngram_quality, packing, quality_net, simhash
+from spanweave.llm import line_dedup, ngram_quality, packing, quality_net, resemblance
 from spanweave.llm.queries import QUALITY, packed_pieces, quality_labels, tokenizer
 from spanweave.session import scratch_path
 
@@ -52,18 +52,19 @@ def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one with the smallest id, and of its rows one."""
+    """One document of each group of near duplicates, by fingerprint or by shingles: the one with the smallest id, and
+    of its rows one."""
     scripts, others = _scripts(docs)
     # Two hashes name a row by id and text; neither is ever null.
     keyed = scripts.withColumns({"__k": F.xxhash64("media_id", "text"), "__l": F.xxhash64(F.lit(1), F.col("media_id"), F.col("text"))})
-    found = simhash.near_duplicates(keyed, SHINGLE, "__k", "__l")
+    found = resemblance.resembling_groups(keyed, ("__k", "__l"), SHINGLE, SIMILARITY)
     first = F.struct(F.col("media_id").isNull().alias("n"), "media_id", "__k", "__l")
     keepers = found.groupBy("root").agg(F.min(first).alias("f")).select("f.__k", "f.__l")
     return _documents(keyed.join(keepers, ["__k", "__l"], "left_semi").dropDuplicates(["__k", "__l"]), docs)
 
 
-#: Words in a shingle for near duplicates.
-SHINGLE = 5
+#: Words in a shingle of near duplicates, and the share of shingles that they have in common.
+SHINGLE, SIMILARITY = 5, 0.8
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

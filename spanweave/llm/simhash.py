@@ -32,20 +32,29 @@ _BITS = np.uint64(1) << np.arange(64, dtype=np.uint64)
 _PAIR = StructType([StructField("a", LongType()), StructField("b", LongType())])
 
 
-def fingerprint(text: str, shingle: int = 3) -> int:
-    """Unsigned 64-bit SimHash: A-Z lower-cased, ASCII white space, shingles with repeats; 0 without a word."""
+def shingle_digests(text: str, shingle: int) -> np.ndarray:
+    """Unsigned digests of the shingles, with repeats: A-Z lower-cased, words between ASCII white space."""
     words = text.encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     digest = xxhash.xxh64_intdigest
     if len(words) <= shingle:
-        return digest(b" ".join(words), SEED)
-    hashes = np.fromiter((digest(b" ".join(s), SEED) for s in zip(*[words[i:] for i in range(shingle)])), np.uint64, len(words) - shingle + 1)
+        return np.array([digest(b" ".join(words), SEED)], np.uint64)
+    return np.fromiter((digest(b" ".join(s), SEED) for s in zip(*[words[i:] for i in range(shingle)])), np.uint64, len(words) - shingle + 1)
+
+
+def fingerprint_of(digests: np.ndarray) -> int:
+    """A bit is 1 if it is set in over half the digests."""
     ones = np.zeros(64, np.int64)
-    for at in range(0, len(hashes), _CHUNK):  # little-endian bytes and bits: column i is bit i
-        part = hashes[at:at + _CHUNK].astype("<u8").view(np.uint8).reshape(-1, 8)
+    for at in range(0, len(digests), _CHUNK):  # little-endian bytes and bits: column i is bit i
+        part = digests[at:at + _CHUNK].astype("<u8").view(np.uint8).reshape(-1, 8)
         ones += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(_BITS[2 * ones > len(hashes)].sum())
+    return int(_BITS[2 * ones > len(digests)].sum())
+
+
+def fingerprint(text: str, shingle: int = 3) -> int:
+    """Unsigned 64-bit SimHash of a text; 0 without a word."""
+    return fingerprint_of(shingle_digests(text, shingle))
 
 
 def fingerprints(scripts: DataFrame, shingle: int = 3, *carried: str) -> DataFrame:
