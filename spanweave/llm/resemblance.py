@@ -123,7 +123,8 @@ def resembling_groups(scripts: DataFrame, key: tuple[str, str], shingle: int = 5
             sets = [shingle_set(shingle_digests(t, shingle)).tobytes() for t in texts_of(batch)]
             yield pa.RecordBatch.from_arrays([column_of(batch, "fingerprint"), pa.array(sets, pa.binary())], names=["fingerprint", "shingles"])
 
-    written = scripts.select(*key, "text").join(stage(chosen), list(key)).select("fingerprint", F.col("text").cast("string").alias("text"))
+    # Candidates grow with the table: the same join at every size, and no broadcast of a small one.
+    written = scripts.select(*key, "text").join(stage(chosen).hint("merge"), list(key)).select("fingerprint", F.col("text").cast("string").alias("text"))
     sets = stage(map_batches(written, shingles, StructField("shingles", BinaryType()), keep=("fingerprint",)).dropDuplicates(["fingerprint"]))
 
     best = stage(pairs.groupBy("a").agg(F.max(F.struct("shared", "b"))["b"].alias("b")))
