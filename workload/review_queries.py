@@ -66,10 +66,9 @@ def merge_reanalysis(spark, sf):
 
 @query("skip_done_engines", "findings", """
 SELECT m.media_id, e.engine FROM (SELECT DISTINCT media_id FROM findings) m, (SELECT unnest(['subtitles', 'vlm', 'whisper']) AS engine) e
-WHERE NOT EXISTS (SELECT 1 FROM findings f WHERE f.media_id = m.media_id AND f.engine = e.engine AND f.confidence > 0.9::DOUBLE AND approved)""")
+WHERE NOT EXISTS (SELECT 1 FROM findings f WHERE f.media_id = m.media_id AND f.engine = e.engine)""")
 def skip_done_engines(spark, sf):
-    done = v.findings(spark, sf).where("confidence > 0.9D AND approved")
-    return rc.skip_done_engines(v.media(spark, sf), ["subtitles", "vlm", "whisper"], done)
+    return rc.skip_done_engines(v.media(spark, sf), ["subtitles", "vlm", "whisper"], v.findings(spark, sf))
 
 
 @query("apply_edits", "findings edits", f"""
@@ -302,14 +301,14 @@ def upsert_latest(spark, sf):
 
 
 @query("delete_cascade", "jobs findings", """
-SELECT 'job' AS kind, count(*) AS n FROM jobs WHERE status <> 'failed' UNION ALL
-SELECT 'timeline', count(*) FROM findings WHERE NOT EXISTS (SELECT 1 FROM jobs WHERE jobs.id = findings.media_id::VARCHAR AND status = 'failed')""")
+SELECT 'job' AS kind, id AS job_id, NULL::BIGINT AS id FROM jobs WHERE status <> 'failed' UNION ALL
+SELECT 'timeline', media_id::VARCHAR, id FROM findings WHERE NOT EXISTS (SELECT 1 FROM jobs WHERE jobs.id = findings.media_id::VARCHAR AND status = 'failed')""")
 def delete_cascade(spark, sf):
     all_jobs = v.jobs(spark, sf)
     found = v.findings(spark, sf).select(F.col("media_id").cast("string").alias("job_id"), "id")
     left, timelines = jb.delete_cascade(all_jobs, found, all_jobs.where("status = 'failed'"))
-    n = F.count(F.lit(1)).alias("n")
-    return left.agg(n).select(F.lit("job").alias("kind"), "n").unionByName(timelines.agg(n).select(F.lit("timeline").alias("kind"), "n"))
+    return left.select(F.lit("job").alias("kind"), F.col("id").alias("job_id"), F.lit(None).cast("bigint").alias("id")).unionByName(
+        timelines.select(F.lit("timeline").alias("kind"), "job_id", "id"))
 
 
 # -- files and library ------------------------------------------------------------------------------

@@ -106,11 +106,11 @@ def flag_moment(spark, sf):
 
 @query("runtime_fallback", "findings media", """
 SELECT m.media_id, CASE WHEN m.media_id % 3 = 0 THEN 2678400000 ELSE coalesce(max(f.end_ms) + 60000, 60000) END AS runtime_ms
-FROM media m LEFT JOIN (SELECT * FROM findings WHERE category = 'nudity' AND action = 'skip' AND approved) f USING (media_id) GROUP BY m.media_id""")
+FROM media m LEFT JOIN findings f USING (media_id) GROUP BY m.media_id""")
 def runtime_fallback(spark, sf):
     known = v.media(spark, sf).withColumn("duration_ms", F.when(F.col("media_id") % 3 == 0, F.col("duration_ms"))
                                           .when(F.col("media_id") % 3 == 1, 0))
-    return media.runtime_fallback(known, v.findings(spark, sf).where("category = 'nudity' AND action = 'skip' AND approved"))
+    return media.runtime_fallback(known, v.findings(spark, sf))
 
 
 @query("fix_inverted_span", "findings", """
@@ -158,17 +158,18 @@ def repair_mojibake(spark, sf):
     return docs.select("doc_id", tx.repair_mojibake(F.when(whole, broken).otherwise(F.col("text"))).alias("repaired"))
 
 
+# Without look-around, a match takes its neighbours with it; a second pass gets those between two matches.
+_OCR_BAR = f"regexp_replace({{}}, '(^|[^A-Za-z0-9])[|l]([''’]|{v._SPACE[:-1].replace('{', '{{').replace('}', '}}')})', '\\1I\\2', 'g')"
+_OCR_ZERO = "regexp_replace({}, '([a-z])0([a-z])', '\\1o\\2', 'g')"
+
+
 @query("ocr_cleanup", "cues", f"""
-SELECT media_id, cue_idx, trim({v._space_sql("replace(replace(text, '“', '\"'), '”', '\"')").replace('trim(', '(', 1)}, ' -—') AS clean
-FROM (SELECT media_id, cue_idx, 'I''m here I said, so very ' || replace(replace(text, '‘', ''''), '’', '''') AS text FROM cues
-      WHERE NOT regexp_matches(text, '(^|[^A-Za-z0-9])[|l]([''’]|\\s|$)') AND NOT regexp_matches(text, '[a-z]0[a-z]'))""")
+SELECT media_id, cue_idx, trim(regexp_replace(translate({_OCR_ZERO.format(_OCR_ZERO.format(_OCR_BAR.format(_OCR_BAR.format('text'))))}, '“”‘’', '""'''''), '{v._SPACE}', ' ', 'g'), ' -—') AS clean
+FROM (SELECT media_id, cue_idx, '- |''m here l said, s0me l0ng0r words | l ' || text || ' —' AS text FROM cues)""")
 def ocr_cleanup(spark, sf):
-    """Planted misreadings in cues that hold none of their own."""
-    cues = v.cues(spark, sf).where(~F.col("text").rlike(r"(^|[^A-Za-z0-9])[|l](['’]|\s|$)") & ~F.col("text").rlike("[a-z]0[a-z]"))
-    planted = F.concat(F.lit("- |'m here\nl said,  s0 very "), F.col("text"), F.lit(" —"))
-    # A zero between a letter and a space is no misreading the rule covers, so plant one that is.
-    planted = F.replace(planted, F.lit("s0 very"), F.lit("so very"))
-    return cues.select("media_id", "cue_idx", tx.ocr_cleanup(planted).alias("clean"))
+    """All cues, with planted misreadings before their own."""
+    planted = F.concat(F.lit("- |'m here\nl said,  s0me l0ng0r words | l "), F.col("text"), F.lit(" —"))
+    return v.cues(spark, sf).select("media_id", "cue_idx", tx.ocr_cleanup(planted).alias("clean"))
 
 
 @query("normalize_word", "words", f"SELECT media_id, seg_idx, word_idx, {NORM.format('word')} AS norm FROM words")
@@ -250,13 +251,11 @@ def prompt_digest(spark, sf):
 
 
 @query("quick_fingerprint", "", """
-SELECT page_id, 'quickhash:' || sha256(n || html[1:64] || html[greatest(n // 2 - 32, 0) + 1 : greatest(n // 2 - 32, 0) + 64] ||
-  html[greatest(n - 64, 0) + 1 : greatest(n - 64, 0) + 64]) AS fingerprint
-FROM (SELECT page_id, regexp_replace(html, '[^\\x00-\\x7f]', '', 'g') AS html,
-      length(regexp_replace(html, '[^\\x00-\\x7f]', '', 'g')) AS n FROM pages)""")
+SELECT page_id, 'quickhash:' || sha256(encode(n::VARCHAR) || unhex(raw[1:128] || raw[2 * greatest(n // 2 - 32, 0) + 1 : 2 * greatest(n // 2 - 32, 0) + 128] ||
+  raw[2 * greatest(n - 64, 0) + 1 : 2 * greatest(n - 64, 0) + 128])) AS fingerprint
+FROM (SELECT page_id, hex(encode(html)) AS raw, octet_length(encode(html)) AS n FROM pages)""")
 def quick_fingerprint(spark, sf):
-    plain = F.regexp_replace("html", r"[^\x00-\x7f]", "")
-    return v.table(spark, sf, "pages").select("page_id", tx.quick_fingerprint(F.encode(plain, "utf-8"), 64).alias("fingerprint"))
+    return v.table(spark, sf, "pages").select("page_id", tx.quick_fingerprint(F.encode("html", "utf-8"), 64).alias("fingerprint"))
 
 
 # -- policy and review ------------------------------------------------------------------------------

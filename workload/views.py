@@ -128,11 +128,11 @@ SQL["media"] = "media AS (SELECT DISTINCT user_id AS media_id, 2678400000::BIGIN
 
 
 def flags(spark: SparkSession, sf: str) -> DataFrame:
-    """Playback positions: the instants of error events."""
-    return findings(spark, sf).where("category = 'nudity'").select("media_id", F.col("start_ms").alias("t_ms"), F.col("id").alias("flag_id"))
+    """Playback positions: the instants of all events."""
+    return findings(spark, sf).select("media_id", F.col("start_ms").alias("t_ms"), F.col("id").alias("flag_id"))
 
 
-SQL["flags"] = "flags AS (SELECT media_id, start_ms AS t_ms, id AS flag_id FROM findings WHERE category = 'nudity')"
+SQL["flags"] = "flags AS (SELECT media_id, start_ms AS t_ms, id AS flag_id FROM findings)"
 
 
 def windows(spark: SparkSession, sf: str, half_ms: int = 10_800_000) -> DataFrame:
