@@ -12,9 +12,8 @@ from pyspark.sql import functions as F
 from spanweave.functions.review import TERMINAL
 from spanweave.functions.schedule import Schedule, schedule_allowed
 from spanweave.functions.timefmt import fmt_clock, progress_decile
-from spanweave.operators.intervals import islands
 from spanweave.operators.reconcile import create_findings, high_water
-from spanweave.operators.scan import Running, id_blocks, running, time_blocks, union_all
+from spanweave.operators.scan import Running, id_blocks, running, union_all
 from spanweave.schema import FINDING
 from spanweave.streaming.state import KeyedLog, run_available, write_epoch
 
@@ -79,28 +78,79 @@ def stream_decile_alerts(ticks: DataFrame, path: str, checkpoint: str) -> None:
 
 # -- suppression ------------------------------------------------------------------------------------
 
-def miss_rechecks(polls: DataFrame, ttl: int = 30, before: DataFrame | None = None) -> DataFrame:
-    """Times at which a repeated miss is looked up again: the first, then whenever the last is ``ttl`` old.
+#: A block of the clock has room for so many look-ups, and a run of blocks is so many.
+_FAN = 64
+
+
+def _entries(steps: Column, entry: Column, at: Column) -> Column:
+    """(at, e) for each of the ordered ``steps`` (at, exits), where e is what the step before left to it, and last what
+    the last one leaves. A step that does not follow at once finds the answer forgotten."""
+    none = F.array().cast("array<struct<at:bigint,e:int>>")
+
+    def on(acc: Column, step: Column) -> Column:
+        e = F.when(step["at"] == acc["at"] + 1, acc["e"]).otherwise(F.lit(0))
+        return F.struct(F.array_append(acc["seen"], F.struct(step["at"].alias("at"), e.alias("e"))).alias("seen"),
+                        F.get(step["exits"], e).alias("e"), step["at"].alias("at"))
+
+    return F.aggregate(steps, F.struct(none.alias("seen"), entry.cast("int").alias("e"), at.cast("bigint").alias("at")), on)
+
 
-    After a pause of ``ttl`` the answer no longer depends on the past, so each unbroken run of polls is
-    folded on its own; it holds distinct instants only, however many clients ask.
-    ``before``: (path, t_s) of the last look-up.
+def _exit(steps: Column, entry: Column, at: Column) -> Column:
+    """What the last of the ``steps`` leaves, and its place."""
+    def on(acc: Column, step: Column) -> Column:
+        e = F.when(step["at"] == acc["at"] + 1, acc["e"]).otherwise(F.lit(0))
+        return F.struct(F.get(step["exits"], e).alias("e"), step["at"].alias("at"))
+
+    return F.aggregate(steps, F.struct(entry.cast("int").alias("e"), at.cast("bigint").alias("at")), on)
+
+
+def miss_rechecks(polls: DataFrame, ttl: int = 30, before: DataFrame | None = None) -> DataFrame:
+    """Times (whole seconds) at which a repeated miss is looked up again: the first, then whenever the last is ``ttl`` old.
+
+    A path's clock is cut into blocks. What a block needs to know of the past is how many of its first seconds the
+    last answer still covers, one of ``ttl`` numbers; so each block is reduced to what it leaves to the next for each of
+    them, runs of blocks likewise, and only these small maps are put in sequence per path. Then each block is
+    walked alone. A block holds distinct seconds only, however many clients ask and however long a service stands.
+    ``before``: (path, t_s) of the last look-up; polls up to it were answered by it and are left out, so a poll that
+    arrives in a later batch than a younger one has no look-up of its own.
     """
+    width = ttl * _FAN
     times = polls.select("path", "t_s")
     if before is not None:
         last = before.select("path", F.col("t_s").alias("last_s"))
         times = times.join(last, "path", "left").where("last_s is null or t_s > last_s").select("path", "t_s").unionByName(
             before.select("path", "t_s"))
-    spans = times.select("path", F.col("t_s").alias("start_ms"), F.col("t_s").alias("end_ms"))
-    runs = islands(spans, ["path"], ttl - 1, time_blocks()).groupBy("path", "island_ms").agg(
-        F.array_sort(F.collect_list("start_ms")).alias("ts"))
-
-    # The largest element is always the last look-up, so the state is the list itself.
-    def step(passed: Column, t: Column) -> Column:
-        return F.when(t - F.element_at(passed, -1) >= ttl, F.array_append(passed, t)).otherwise(passed)
-
-    passed = F.aggregate(F.slice("ts", F.lit(2), F.greatest(F.size("ts") - 1, F.lit(0))), F.slice("ts", 1, 1), step)
-    out = runs.select("path", F.explode(passed).alias("t_s"))
+    offset = F.expr(f"pmod(t_s, {width})").cast("int")
+    blocks = times.where("t_s is not null").select("path", F.expr(f"(t_s - pmod(t_s, {width})) div {width}").alias("at"), offset.alias("o")).groupBy(
+        "path", "at").agg(F.sort_array(F.collect_set("o")).alias("os"))
+
+    def left(e: Column) -> Column:
+        free = F.aggregate("os", e, lambda free, o: F.when(o >= free, o + ttl).otherwise(free))
+        return F.greatest(free - width, F.lit(0))
+
+    possible = F.sequence(F.lit(0), F.lit(ttl - 1))
+    run = F.expr(f"(at - pmod(at, {_FAN})) div {_FAN}")
+    runs = blocks.select("path", "at", F.transform(possible, left).alias("exits")).groupBy("path", run.alias("run")).agg(
+        F.array_sort(F.collect_list(F.struct("at", "exits"))).alias("steps"))
+
+    def left_by_run(e: Column) -> Column:
+        out = _exit(F.col("steps"), e, F.col("run") * _FAN - 1)
+        return F.when(out["at"] == F.col("run") * _FAN + _FAN - 1, out["e"]).otherwise(F.lit(0))
+
+    sequence = runs.select("path", F.struct(F.col("run").alias("at"), F.transform(possible, left_by_run).alias("exits")).alias("step")).groupBy(
+        "path").agg(F.array_sort(F.collect_list("step")).alias("steps"))
+    entered = sequence.select("path", F.explode(_entries(F.col("steps"), F.lit(0), F.lit(-1))["seen"]).alias("r")).select(
+        "path", F.col("r.at").alias("run"), F.col("r.e").alias("e"))
+    walked = runs.join(entered, ["path", "run"]).select(
+        "path", F.explode(_entries(F.col("steps"), F.col("e"), F.col("run") * _FAN - 1)["seen"]).alias("b")).select("path", "b.at", "b.e")
+
+    def step(acc: Column, o: Column) -> Column:
+        return F.when(o >= acc["free"], F.struct(F.array_append(acc["passed"], o).alias("passed"), (o + ttl).alias("free"))).otherwise(acc)
+
+    start = F.struct(F.array().cast("array<int>").alias("passed"), F.col("e").alias("free"))
+    passed = F.aggregate("os", start, step, lambda acc: acc["passed"])
+    out = blocks.join(walked, ["path", "at"]).select("path", "at", F.explode(passed).alias("o")).select(
+        "path", (F.col("at") * width + F.col("o")).alias("t_s"))
     return out if before is None else out.join(before, ["path", "t_s"], "left_anti")
 
 

@@ -92,6 +92,24 @@ def test_suppression_over_batches(spark, arriving):
     assert rows(spark.read.parquet(f"{out}/rechecks").drop("epoch")) == sorted(want)
 
 
+def test_suppression_of_a_standing_service(spark):
+    """Runs over many blocks, pauses that end at, in and beyond a block, and times before the clock's zero."""
+    import random
+
+    dice, times, t = random.Random(7), [], -500_000
+    while len(times) < 20_000:
+        times.append(t)
+        t += dice.choice((1, 1, 2, 7, 29, 30, 31, 1)) if dice.random() < 0.999 else dice.choice((1919, 1920, 4000, 130_000, 300_000))
+    want, last = [], None
+    for t in times:
+        if last is None or t - last >= 30:
+            want.append(t)
+            last = t
+    polls = spark.createDataFrame([("film", t) for t in times], "path string, t_s bigint")
+    got = sj.miss_rechecks(polls.unionByName(polls))
+    assert [r.t_s for r in got.orderBy("t_s").collect()] == want
+
+
 def test_flags_go_on_numbering(spark, arriving):
     flags = spark.range(30).selectExpr("id % 2 as media_id", "id * 1000 as t_ms", "id as seq", "cast(id div 10 as int) as part")
     stream, out, checkpoint = arriving(flags, "part")
