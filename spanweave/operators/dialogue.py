@@ -47,8 +47,9 @@ def lexicon_join(tokens: DataFrame, lexicon: DataFrame) -> DataFrame:
     by_head = (words.withColumn("head", F.explode(F.transform(
         F.sequence(F.lit(1), F.length("norm")), lambda n: F.substring("norm", F.lit(1), n))))
         .join(prefixes, "head").select("norm", "tier", F.lit(1).alias("kind")))
-    hits = (words.join(exact, "norm").select("norm", "tier", "kind").unionByName(by_head)
-            .groupBy("norm").agg(F.min(F.struct(rank.alias("r"), "tier"))["tier"].alias("tier")))
+    # Staged, so that the planner knows how few they are; from an estimate it would shuffle all tokens to meet them.
+    hits = stage(words.join(exact, "norm").select("norm", "tier", "kind").unionByName(by_head)
+                 .groupBy("norm").agg(F.min(F.struct(rank.alias("r"), "tier"))["tier"].alias("tier")))
     return tokens.join(hits, "norm").select(*tokens.columns, "tier")
 
 

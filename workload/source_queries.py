@@ -77,28 +77,40 @@ def nest_timeline(spark, sf):
 
 
 def _plan_docs(spark, sf):
-    """An order as a plan of one shot and one verdict."""
-    at = F.col("o_orderkey") % 200 * 31.0
-    shot = F.struct((F.col("o_orderkey") % 200).alias("index"), (F.col("o_orderkey") * 10).alias("start_frame"), (F.col("o_orderkey") * 10 + 9).alias("end_frame"),
-                    at.alias("start_time"), (at + 7.25).alias("end_time"))
-    verdict = F.struct((F.col("o_orderkey") % 200).alias("shot_index"), v._pick(F.col("o_orderstatus"), [("F", "NONE"), ("O", "BLACK_BOX")]).alias("action"),
-                       F.lit("KISSING").alias("category"), F.lit(0.75).alias("confidence"), F.col("o_orderpriority").alias("reasoning"))
-    return v.table(spark, sf, "orders").select(F.col("o_orderkey").alias("media_id"), F.to_json(F.struct(
-        F.array(shot).alias("shots"), F.array(verdict).alias("verdicts"))).alias("json"))
+    """A customer's orders as a plan: a shot each, and one verdict or two, the first with boxes."""
+    key, at = F.col("o_orderkey"), F.col("o_orderkey") % 200 * 31.0
+    shot = F.struct(key.alias("index"), (key * 10).alias("start_frame"), (key * 10 + 9).alias("end_frame"), at.alias("start_time"), (at + 7.25).alias("end_time"))
+    box = lambda i: F.struct((key * 10 + i).alias("frame_idx"), F.lit(i).alias("x1"), F.lit(20).alias("y1"), (key % 700).alias("x2"), F.lit(90).alias("y2"))
+    boxes = F.array(box(0), box(1))
+
+    def verdict(category, boxes):
+        return F.struct(key.alias("shot_index"), v._pick(F.col("o_orderstatus"), [("F", "NONE"), ("O", "BLACK_BOX")]).alias("action"),
+                        F.lit(category).alias("category"), F.lit(0.75).alias("confidence"), F.col("o_orderpriority").alias("reasoning"), boxes.alias("boxes"))
+
+    first, second = verdict("KISSING", boxes), verdict("NUDITY", F.slice(boxes, 1, 0))
+    order = F.struct(key.alias("k"), shot.alias("shot"), F.when(key % 2 == 0, F.array(first)).otherwise(F.array(first, second)).alias("verdicts"))
+    plans = v.table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("media_id")).agg(F.array_sort(F.collect_list(order)).alias("o"))
+    return plans.select("media_id", F.to_json(F.struct(F.col("o.shot").alias("shots"), F.flatten("o.verdicts").alias("verdicts"))).alias("json"))
 
 
 @query("scan_detection_plan", "", """
-SELECT o_orderkey AS media_id, 0::BIGINT AS seq, o_orderkey % 200 AS shot_index, o_orderkey % 200 * 31000 AS start_ms, o_orderkey % 200 * 31000 + 7250 AS end_ms,
-  CASE o_orderstatus WHEN 'F' THEN 'NONE' WHEN 'O' THEN 'BLACK_BOX' END AS action, 'KISSING' AS category, 0.75::DOUBLE AS confidence, o_orderpriority AS reasoning FROM orders""")
+SELECT o_custkey AS media_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey, second) - 1 AS seq, o_orderkey AS shot_index,
+  o_orderkey % 200 * 31000 AS start_ms, o_orderkey % 200 * 31000 + 7250 AS end_ms, CASE o_orderstatus WHEN 'F' THEN 'NONE' WHEN 'O' THEN 'BLACK_BOX' END AS action,
+  CASE second WHEN 0 THEN 'KISSING' ELSE 'NUDITY' END AS category, 0.75::DOUBLE AS confidence, o_orderpriority AS reasoning,
+  CASE second WHEN 1 THEN '[]' ELSE '[{"frame_idx":' || o_orderkey * 10 || ',"x1":0,"y1":20,"x2":' || o_orderkey % 700 || ',"y2":90},{"frame_idx":' ||
+    (o_orderkey * 10 + 1) || ',"x1":1,"y1":20,"x2":' || o_orderkey % 700 || ',"y2":90}]' END AS boxes
+FROM orders, (SELECT unnest([0, 1]) AS second) WHERE second <= o_orderkey % 2""")
 def scan_detection_plan(spark, sf):
     shots, verdicts = rd.parse_plans(_plan_docs(spark, sf))
-    return verdicts.join(shots.select("media_id", "shot_index", "start_ms", "end_ms"), ["media_id", "shot_index"]).drop("boxes")
+    return verdicts.withColumn("boxes", F.to_json("boxes")).join(shots.select("media_id", "shot_index", "start_ms", "end_ms"), ["media_id", "shot_index"])
 
 
 @query("scan_shots", "shots_s", "SELECT media_id, shot_index, start_frame, end_frame, start_s, end_s FROM shots_s")
 def scan_shots(spark, sf):
+    """All shots of a media in one document."""
     shot = F.struct(F.col("shot_index").alias("index"), "start_frame", "end_frame", "start_s", "end_s")
-    return rd.parse_shots(v.shots_s(spark, sf).select("media_id", F.to_json(F.array(shot)).alias("json")))
+    listed = v.shots_s(spark, sf).groupBy("media_id").agg(F.to_json(F.array_sort(F.collect_list(shot))).alias("json"))
+    return rd.parse_shots(listed)
 
 
 @query("format_srt", "cues", f"""
