@@ -291,6 +291,16 @@ def test_rules_and_perplexity_against_brute_force(scripts, empty):
     assert ngram_quality.judge_scripts(empty).count() == 0
 
 
+def test_a_small_language_keeps_its_grams_beside_a_large_one(spark, monkeypatch):
+    monkeypatch.setattr(ngram_quality, "BLOCK", 1000)
+    rng = random.Random(2)
+    few = [" ".join(rng.choices("agua río casa película escena habla otra vez niño".split(), k=30)) for _ in range(12)]
+    rows = [(i, t, "es") for i, t in enumerate(few)] + [(100 + i, "the river runs by the house " * 4000, "en") for i in range(12)]
+    got = {r.media_id: r.log_ppl for r in ngram_quality.judge_scripts(spark.createDataFrame(rows, "media_id int, text string, lang string").repartition(3)).collect()}
+    model = brute_model(few)
+    assert [round(got[i], 6) for i in range(12)] == [round(model(t), 6) for t in few]
+
+
 def test_perplexity_band_rejects_what_is_unlike_its_language(spark):
     rng = random.Random(1)
     words = "the of and there on house water river film scene talks again".split()
