@@ -28,7 +28,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Documents that pass the rule counts and the perplexity band of their language. Rows with equal id and text
     share a verdict."""
     scripts, _ = _scripts(docs)
-    judged = ngram_quality.judge_scripts(docs.select(F.col("doc_id").alias("media_id"), "text", "lang"))
+    judged = ngram_quality.judge_scripts(docs.select(F.col("doc_id").alias("media_id"), "text", "lang"), passing_only=True)
     gone = judged.where("NOT kept").select("media_id", "text_key").distinct()
     key = F.xxhash64(F.coalesce("text", F.lit("")))
     same = F.col("s.media_id").eqNullSafe(F.col("g.media_id")) & (key == F.col("g.text_key"))

@@ -138,7 +138,7 @@ def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_ngram_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = ngram_quality.judge_scripts(scripts(spark, sf_dir))
+    judged = ngram_quality.judge_scripts(scripts(spark, sf_dir), passing_only=True)
     return judged.select(F.col("media_id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 

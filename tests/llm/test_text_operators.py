@@ -311,5 +311,17 @@ def test_perplexity_band_rejects_what_is_unlike_its_language(spark):
     assert sum(got[i].kept for i in range(200)) == 200
 
 
+def test_band_rejects_junk_that_passes_the_base_rules(spark):
+    rng = random.Random(4)
+    words = "the of and there on house water river film scene talks again".split()
+    rows = [(i, " ".join(rng.choices(words, k=rng.choice([40, 80, 300]))), "en") for i in range(200)]
+    rows += [(300 + i, " ".join(w + rng.choice(["", "", "", "***", "$$"]) for w in rng.choices(words, k=80)), "en") for i in range(10)]
+    rows += [(400 + i, "spam spam " * 200, "en") for i in range(300)]
+    df = spark.createDataFrame(rows, "media_id int, text string, lang string")
+    got = {r.media_id: r for r in ngram_quality.judge_scripts(df, passing_only=True).collect()}
+    assert not any(got[300 + i].base_failed or got[300 + i].kept for i in range(10)) and got[400].base_failed and got[400].log_ppl is None
+    assert sum(got[i].kept for i in range(200)) >= 190
+
+
 def test_long_text_rules():
     assert ngram_quality.rule_counts(LONG) == brute_rules(LONG)
