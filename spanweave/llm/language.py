@@ -21,7 +21,9 @@ TEXT_WEIGHT = 60.0
 HOST_LEAN, DOMAIN_LEAN, SMOOTHING = 8.0, 16.0, 2.0
 
 _BLOCKS = re.compile(r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>|&\w+;")
-_DECLARED = re.compile(r"""(?i)<html\b[^>]*?\blang\s*=\s*["']?([a-z]{2,3})\b""")
+#: The first <html> tag, or what it can't be in; an unclosed comment reaches to the end.
+_ROOT = re.compile(r"(?is)<!--(?:.*?-->|.*)|<html\b([^>]*)")
+_DECLARED = re.compile(r"""(?i)\blang\s*=\s*["']?([a-z]{2,3})\b""")
 _HOST = re.compile(r"(?i)^[a-z][a-z0-9+.-]*://([^/?#:]*)")
 _CODE = re.compile(r"(?:^|[/._-])([a-z]{2,3})(?=[/._?#-]|$)")
 
@@ -40,6 +42,15 @@ def plain_text(markup: str) -> str:
     return _BLOCKS.sub(" ", markup) if "<" in markup else markup
 
 
+def declared_language(markup: str) -> str:
+    """The code that the first <html> tag outside comments declares, wherever it stands; each character is read once."""
+    for found in _ROOT.finditer(markup):
+        if found.group(1) is not None:
+            code = _DECLARED.search(found.group(1))
+            return code.group(1).lower() if code else ""
+    return ""
+
+
 def host_of(address: str) -> str:
     found = _HOST.match(address)
     return found.group(1).lower() if found else ""
@@ -105,8 +116,7 @@ def identify_language(files: DataFrame, samples: DataFrame, languages: list[str]
                 logs = model.value @ n if len(buckets) else np.zeros(k)
                 logs = logs * min(1.0, TEXT_WEIGHT / max(len(buckets), 1))
                 rows.append(np.exp(logs - logs.max()) if len(buckets) else np.ones(k))
-                found = _DECLARED.search(text[:4096])
-                declared.append(found.group(1).lower() if found else "")
+                declared.append(declared_language(text))
             p = np.array(rows, np.float64).reshape(-1, k)
             p /= p.sum(axis=1, keepdims=True)
             hosts = [host_of(a) for a in paths]

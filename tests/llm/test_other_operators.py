@@ -175,6 +175,13 @@ def test_language_fuses_evidence(spark):
     assert language.identify_language(df.where("false"), samples, ["de", "en"]).count() == 0
 
 
+def test_declared_language_wherever_the_tag_is(spark):
+    late = "<!-- <html lang=en> " + "licence " * 13_000 + "-->" + "\n" * 5000 + '<HTML class="x" lang="de-AT"><p>der wald</p>'
+    files = spark.createDataFrame([(1, "", late), (2, "", "<!-- <html lang=en>"), (3, "", "<html><p lang=fr>")], "media_id int, media_path string, text string")
+    samples = spark.createDataFrame([("en", "the water"), ("de", "der wald")], "lang string, text string")
+    assert {r.media_id: r.declared for r in language.identify_language(files, samples, ["de", "en"]).collect()} == {1: "de", 2: None, 3: None}
+
+
 def test_licenses_own_and_inherited(spark):
     files = [(1, "a/b/x.srt", "some cue\nReleased under the MIT License.\nmore"), (2, "a/LICENSE", "Licensed under the Apache License,\nVersion 2.0"), (3, "a/b/y.srt", "cue"),
              (4, "a/c/COPYING.txt", "This work is licensed under the GNU General Public License, version 3."), (5, "a/c/d/z.srt", ""), (6, "q/z.srt", None),
