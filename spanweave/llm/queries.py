@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField
 
-from spanweave.llm import bpe, chat, language, licenses, line_dedup, ngram_quality, packing, quality_net, simhash, top_k
+from spanweave.llm import bpe, chat, collocations, language, licenses, line_dedup, ngram_quality, packing, quality_net, simhash, top_k
 from spanweave.llm.common import column_of, map_batches
 from spanweave.session import stage
 
@@ -160,5 +160,31 @@ SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (gone)::BIGINT AS n_
 FROM marked GROUP BY doc_id
 """
 
-QUERIES = {q.__name__: q for q in (op1_bpe, op2_packing, op3_quality, op4_top_k, op5_chat, op6_simhash, op7_language, op8_licenses, op9_ngram_quality, op10_line_dedup)}
-ORACLES = {"op4_top_k": OP4_SQL, "op10_line_dedup": OP10_SQL}
+
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine_collocations(scripts(spark, sf_dir))
+
+
+_LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+OP11_SQL = rf"""
+WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex({_LOWERED}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+words AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+totals AS (SELECT lang, sum(len(w))::HUGEINT AS n FROM words GROUP BY lang),
+starts AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM words),
+phrases AS (SELECT lang, array_to_string(w[i:i + s - 1], ' ') AS phrase, s FROM starts, range(1, 6) t(s) WHERE i + s - 1 <= len(w)),
+freq AS (SELECT lang, phrase, any_value(s) AS s, count(*)::HUGEINT AS f FROM phrases GROUP BY lang, phrase HAVING count(*) >= 100),
+cand AS (SELECT lang, phrase, s, f AS a, string_split(phrase, ' ') AS w FROM freq WHERE s >= 2),
+longer AS (SELECT lang, array_to_string(w[i:j], ' ') AS phrase, max(a) AS a FROM cand, range(1, 5) b(i), range(2, 6) e(j)
+    WHERE j > i AND j <= s AND j - i + 1 < s GROUP BY ALL),
+kept AS (SELECT c.* FROM cand c LEFT JOIN longer o ON o.lang = c.lang AND o.phrase = c.phrase WHERE o.a IS NULL OR 100 * o.a < 100 * c.a),
+cuts AS (SELECT c.*, k, array_to_string(w[1:k], ' ') AS head, array_to_string(w[k + 1:s], ' ') AS tail FROM kept c, range(1, 5) t(k) WHERE k < s),
+scored AS (SELECT c.lang, c.phrase, c.a, k, l.f AS l, r.f AS r, t.n, (1000 * c.a * t.n) // (l.f * r.f) AS score FROM cuts c
+    JOIN freq l ON l.lang = c.lang AND l.phrase = c.head JOIN freq r ON r.lang = c.lang AND r.phrase = c.tail JOIN totals t ON t.lang = c.lang),
+lowest AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS cut FROM scored),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM lowest WHERE cut = 1)
+SELECT lang, rank::BIGINT AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score FROM ranked WHERE rank <= 2000
+"""
+
+QUERIES = {q.__name__: q for q in (op1_bpe, op2_packing, op3_quality, op4_top_k, op5_chat, op6_simhash, op7_language, op8_licenses, op9_ngram_quality, op10_line_dedup,
+                                  op11_collocations)}
+ORACLES = {"op4_top_k": OP4_SQL, "op10_line_dedup": OP10_SQL, "op11_collocations": OP11_SQL}
