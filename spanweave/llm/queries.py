@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField
 
-from spanweave.llm import bpe, chat, collocations, language, licenses, line_dedup, ngram_quality, packing, quality_net, simhash, top_k
+from spanweave.llm import (bpe, chat, collocations, language, lexical_search, licenses, line_dedup, ngram_quality, packing, quality_net, simhash,
+                           top_k, vector_links)
 from spanweave.llm.common import column_of, map_batches
 from spanweave.session import stage
 
@@ -185,6 +186,45 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a
 SELECT lang, rank::BIGINT AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score FROM ranked WHERE rank <= 2000
 """
 
+
+def op12_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("vector_id"), F.col("embedding").alias("vector"), "label")
+    return vector_links.link_vectors(vectors).withColumnRenamed("vector_id", "vec_id")
+
+
+OP12_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+    AND list_cosine_similarity(a.e, b.e) >= 0.98),
+reach AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b),
+roots AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a),
+degrees AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT e.vec_id, coalesce(d.n, 0)::BIGINT AS n_links, r.component_id, e.vec_id = r.component_id AS kept
+FROM embeddings e JOIN roots r ON r.a = e.vec_id LEFT JOIN degrees d ON d.a = e.vec_id
+"""
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lexical_search.rank_scripts(scripts(spark, sf_dir), table(spark, sf_dir, "benchmark").withColumnRenamed("item_id", "query_id"))
+    return found.select(F.col("query_id").alias("item_id"), "rank", F.col("media_id").alias("doc_id"), "score")
+
+
+OP13_SQL = rf"""
+WITH terms AS (SELECT doc_id, regexp_extract_all({_LOWERED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS t FROM documents),
+docs AS (SELECT doc_id, len(t)::BIGINT AS n, t FROM terms WHERE len(t) > 0),
+whole AS (SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS total FROM docs),
+asked AS (SELECT item_id, unnest(regexp_extract_all({_LOWERED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+counted AS (SELECT item_id, term, count(*)::BIGINT AS times FROM asked GROUP BY ALL),
+tf AS (SELECT doc_id, n, term, count(*)::BIGINT AS tf FROM (SELECT doc_id, n, unnest(t) AS term FROM docs) WHERE term IN (SELECT term FROM counted) GROUP BY ALL),
+df AS (SELECT term, floor(1000 * ln((2 * any_value(docs) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM tf, whole GROUP BY term),
+scored AS (SELECT item_id, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + (75 * n * docs) // total))))::BIGINT AS score
+    FROM counted JOIN df USING (term) JOIN tf USING (term), whole GROUP BY item_id, doc_id),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank FROM scored WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10
+"""
+
 QUERIES = {q.__name__: q for q in (op1_bpe, op2_packing, op3_quality, op4_top_k, op5_chat, op6_simhash, op7_language, op8_licenses, op9_ngram_quality, op10_line_dedup,
-                                  op11_collocations)}
-ORACLES = {"op4_top_k": OP4_SQL, "op10_line_dedup": OP10_SQL, "op11_collocations": OP11_SQL}
+                                  op11_collocations, op12_embedding_dedup, op13_lexical_search)}
+ORACLES = {"op4_top_k": OP4_SQL, "op10_line_dedup": OP10_SQL, "op11_collocations": OP11_SQL, "op12_embedding_dedup": OP12_SQL,
+           "op13_lexical_search": OP13_SQL}
