@@ -2,11 +2,15 @@
 
 Phrases are counted in a HAT-trie per task: a shallow trie over word ids with hash containers below it, which burst
 into trie nodes as they grow. A full trie spills whole subtrees as sorted runs, and the runs are merged per partition
-of phrase prefixes. Lengths are counted one after the other, since a phrase can't be more frequent than the phrases in it.
+of phrase prefixes. Most phrases never come near the least count, so digests are counted first, length by length, since a
+phrase can't be more frequent than the phrases in it; only what may be frequent enters a trie.
 """
 
 from __future__ import annotations
 
+import zlib
+from array import array
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,11 +26,12 @@ from spanweave.session import stage
 BURST, HELD, KNOWN = 4096, 300_000, 500_000
 #: Bits in the sketch of what is frequent: 8 MB whatever the corpus. It has no false negatives; false positives cost time alone.
 SKETCH_BITS = 1 << 26
-#: Lengths counted in one reading of the texts.
-READINGS = ((1,), (2,), (3,), (4, 5))
+#: Lengths whose frequent phrases are told apart first, one reading of the texts each, and those that are then counted in one.
+SIFTED, COUNTED = (1, 2, 3), (1, 2, 3, 4, 5)
 #: A first part shared by many phrases is looked up under so many keys.
 SALTS = 16
 _SLICE = 4 << 20
+_STRIPS = 2 << 20
 _ROWS = 1 << 15
 
 _UPPER, _LOWER = bytes(range(65, 91)), bytes(range(97, 123))
@@ -115,53 +120,51 @@ def _walk(before: tuple[int, ...], kid: dict | _Node) -> Iterator[tuple[tuple[in
 
 
 class _Words(dict):
-    """Ids of the words of one language; -1 for those that ``frequent`` rules out and for the end of a piece."""
+    """Ids of the words of one language; -1 for those that are not frequent and for the end of a piece."""
 
-    def __init__(self, lang: str, spelled: list[tuple[str, bytes]], frequent):
+    def __init__(self, reader: PhraseReader, lang: str):
         super().__init__({_END: -1})
-        self.lang, self.spelled, self.frequent = lang, spelled, frequent
+        self.reader, self.lang = reader, lang
+        self.seed = xxhash.xxh64_intdigest(lang.encode("utf-8", "surrogatepass"), 42)
 
     def __missing__(self, word: bytes) -> int:
-        if self.frequent(self.lang, word):
-            at = self[word] = len(self.spelled)
-            self.spelled.append((self.lang, word))
+        reader, digest = self.reader, xxhash.xxh64_intdigest(word, self.seed)
+        if 1 not in reader.sketches or int(reader.sketches[1][digest >> 6 & SKETCH_BITS // 64 - 1]) >> (digest & 63) & 1:
+            at = self[word] = len(reader.spelled)
+            reader.spelled.append((self.lang, word))
+            reader.digests.append(digest)
         else:
             at = self[word] = -1
         return at
 
 
-class PhraseCounter:
-    """Counts phrases of some lengths whose parts of the lengths counted before are all frequent, as far as sketches tell.
+def _in_sketch(sketch: np.ndarray, digests: np.ndarray) -> np.ndarray:
+    return (sketch[digests >> np.uint64(6) & np.uint64(SKETCH_BITS // 64 - 1)] >> (digests & np.uint64(63)) & np.uint64(1)).astype(bool)
 
-    ``sketches[k]`` holds bits of the frequent phrases of k words.
-    """
 
-    def __init__(self, lengths: tuple[int, ...], sketches: dict[int, np.ndarray], held: int = HELD, burst: int = BURST):
-        self.lengths, self.sketches, self.held, self.burst = lengths, sketches, held, burst
-        self.seeds: dict[str, int] = {}
-        self.start()
+def _longer(before: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Digests of phrases that go on with a word."""
+    mixed = (before ^ before >> np.uint64(29)) * np.uint64(0x9E3779B97F4A7C15) + word
+    return (mixed ^ mixed >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
+
+
+class PhraseReader:
+    """Phrases of texts whose shorter parts are all frequent, as far as ``sketches`` by length tell."""
+
+    def __init__(self, lengths: tuple[int, ...], sketches: dict[int, np.ndarray]):
+        self.lengths, self.sketches = lengths, sketches
+        self.forget()
 
-    def start(self) -> None:
+    def forget(self) -> None:
         self.spelled: list[tuple[str, bytes]] = []
+        self.digests = array("Q")
         self.words: dict[str, _Words] = {}
-        self.joined: dict[int, dict[int, int]] = {k: {} for k in self.sketches}
-        self.trie = HatTrie(self.burst)
-
-    def frequent(self, k: int, lang: str, phrase: bytes) -> bool:
-        sketch = self.sketches.get(k)
-        if sketch is None:
-            return True
-        seed = self.seeds.get(lang)
-        if seed is None:
-            seed = self.seeds[lang] = xxhash.xxh64_intdigest(lang.encode("utf-8", "surrogatepass"), 42)
-        at = xxhash.xxh64_intdigest(phrase, seed) & (SKETCH_BITS - 1)
-        return bool(int(sketch[at >> 6]) >> (at & 63) & 1)
 
-    def feed(self, lang: str, texts: list[bytes]) -> Iterator[list]:
-        """Count the phrases of texts; whatever is spilled meanwhile."""
+    def read(self, lang: str, texts: list[bytes]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """Length, digests and places of phrases, and the word ids that places point to, slice by slice."""
         known = self.words.get(lang)
         if known is None:
-            known = self.words[lang] = _Words(lang, self.spelled, lambda at, word: self.frequent(1, at, word))
+            known = self.words[lang] = _Words(self, lang)
         whole = b" . ".join([t.translate(_FOLD).replace(b"\n", b" . ") for t in texts])
         at, carried, reach = 0, np.zeros(0, np.int64), max(self.lengths) - 1
         while at < len(whole):
@@ -173,66 +176,74 @@ class PhraseCounter:
                     end = len(whole) if end < 0 else end
             tokens = whole[at:end].split()
             ids = np.concatenate([carried, np.fromiter(map(known.__getitem__, tokens), np.int64, len(tokens))])
-            self._count(ids, len(carried))
+            yield from self._phrases(ids, len(carried))
             carried, at = ids[len(ids) - min(reach, len(ids)):], end
-            if len(self.spelled) + sum(map(len, self.joined.values())) > KNOWN:  # ids of what is known end here
-                yield self.run(0)
-                self.joined = {k: {} for k in self.sketches}
-                if end == len(whole):
-                    self.spelled, self.words = [], {}
-            elif self.trie.size > self.held:
+
+    def _phrases(self, ids: np.ndarray, carried: int):
+        ok = ids >= 0
+        words = np.frombuffer(self.digests.tobytes() or bytes(8), np.uint64)[np.maximum(ids, 0)]
+        digest = words
+        for k in range(1, max(self.lengths) + 1):
+            if k > 1:
+                digest, ok = _longer(digest[:-1], words[k - 1:]), ok[:-1] & ok[1:]
+                where = np.flatnonzero(ok)
+                if k in self.sketches:
+                    ok[where[~_in_sketch(self.sketches[k], digest[where])]] = False
+            if k in self.lengths:
+                where = np.flatnonzero(ok)
+                where = where[where + k > carried]  # the others lie in the slice before
+                yield k, digest[where], where, ids
+
+
+class PhraseCounter(PhraseReader):
+    """Exact counts of phrases in a HAT-trie."""
+
+    def __init__(self, lengths: tuple[int, ...], sketches: dict[int, np.ndarray], held: int = HELD, burst: int = BURST):
+        super().__init__(lengths, sketches)
+        self.held, self.trie = held, HatTrie(burst)
+
+    def feed(self, lang: str, texts: list[bytes]) -> Iterator[list]:
+        """Count the phrases of texts; whatever is spilled meanwhile."""
+        for k, digests, where, ids in self.read(lang, texts):
+            _, first, n = np.unique(digests, return_index=True, return_counts=True)
+            words = ids[where[first][:, None] + np.arange(k)]
+            if len(first) < len(digests):  # equal digests are settled by the words themselves
+                words, n = _settled(words, n, digests, where, ids, k)
+            for phrase, times in zip(words.tolist(), n.tolist()):
+                self.trie.add(tuple(phrase), times)
+            if self.trie.size > self.held:
                 yield self.run(self.held // 2)
+        if len(self.spelled) > KNOWN:
+            yield self.run(0)
+            self.forget()
 
     def run(self, keep: int = 0) -> list[tuple[str, bytes, int]]:
         """A sorted run of (language, phrase, count)."""
         spelled = self.spelled
         return sorted((spelled[p[0]][0], b" ".join([spelled[w][1] for w in p]), n) for p, n in self.trie.spill(keep))
 
-    def _count(self, ids: np.ndarray, carried: int) -> None:
-        at, most = ids, max(self.sketches, default=0)
-        for k in range(2, most + 1):
-            at = self._frequent_ids(k, at, ids)
-        base = max(most, 1)
-        for k in range(base, max(self.lengths) + 1):
-            if k > base:  # neighbours in ``at`` are the first and the last k - 1 words
-                at = _neighbours(at)[0]
-            if k in self.lengths:
-                where = np.flatnonzero(at >= 0)
-                where = where[where + k > carried]  # the others lie in the slice before
-                _, first, n = np.unique(at[where], return_index=True, return_counts=True)
-                for phrase, times in zip(ids[where[first][:, None] + np.arange(k)].tolist(), n.tolist()):
-                    self.trie.add(tuple(phrase), times)
-
-    def _frequent_ids(self, k: int, shorter: np.ndarray, ids: np.ndarray) -> np.ndarray:
-        """An id for each place where a frequent phrase of ``k`` words starts, -1 for the others."""
-        at, keys, first = _neighbours(shorter)
-        known = self.joined[k]
-        found = np.empty(len(keys) + 1, np.int64)
-        found[-1] = -1
-        for i, key in enumerate(keys.tolist()):
-            got = known.get(key)
-            if got is None:
-                words = [self.spelled[w] for w in ids[first[i]:first[i] + k].tolist()]
-                yes = self.frequent(k, words[0][0], b" ".join([w for _, w in words]))
-                got = known[key] = len(known) if yes else -1
-            found[i] = got
-        return found[at]
-
-
-def _neighbours(at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Numbers of the pairs of neighbours in ``at`` (-1 where either is), the pairs, and a place of each."""
-    if len(at) < 2:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    where = np.flatnonzero((at[:-1] >= 0) & (at[1:] >= 0))
-    keys, first, number = np.unique(at[where] << 32 | at[where + 1], return_index=True, return_inverse=True)
-    out = np.full(len(at) - 1, -1, np.int64)
-    out[where] = number
-    return out, keys, where[first]
+
+def _settled(words: np.ndarray, n: np.ndarray, digests: np.ndarray, where: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Phrases and counts, also if different phrases have one digest."""
+    number = np.unique(digests, return_inverse=True)[1]
+    odd = np.zeros(len(digests), bool)
+    for i in range(k):
+        odd |= ids[where + i] != words[number, i]
+    if not odd.any():
+        return words, n
+    return np.unique(ids[where[:, None] + np.arange(k)], axis=0, return_counts=True)
+
+
+def _texts_by_lang(batch: pa.RecordBatch) -> dict[str, list[bytes]]:
+    by_lang: dict[str, list[bytes]] = {}
+    for lang, text in zip(column_of(batch, "lang").to_pylist(), texts_of(batch)):
+        by_lang.setdefault(lang, []).append(text.encode("utf-8", "surrogatepass"))
+    return by_lang
 
 
 def count_phrases(scripts: DataFrame, lengths: tuple[int, ...], sketches: dict[int, object], held: int = HELD, burst: int = BURST) -> DataFrame:
     """``lang``, ``phrase``, ``n``: occurrences of phrases of ``lengths`` words, overlaps included. ``sketches``: broadcasts of
-    what is frequent among the shorter ones."""
+    what is frequent, by length."""
 
     def run(batches):
         counter = PhraseCounter(lengths, {k: s.value for k, s in sketches.items()}, held, burst)
@@ -244,10 +255,7 @@ def count_phrases(scripts: DataFrame, lengths: tuple[int, ...], sketches: dict[i
                                                   pa.array(n, pa.int64())], names=["lang", "phrase", "n"])
 
         for batch in portions(batches):
-            by_lang: dict[str, list[bytes]] = {}
-            for lang, text in zip(column_of(batch, "lang").to_pylist(), texts_of(batch)):
-                by_lang.setdefault(lang, []).append(text.encode("utf-8", "surrogatepass"))
-            for lang, texts in by_lang.items():
+            for lang, texts in _texts_by_lang(batch).items():
                 for spilled in counter.feed(lang, texts):
                     yield from sent(spilled)
         yield from sent(counter.run())
@@ -258,14 +266,90 @@ def count_phrases(scripts: DataFrame, lengths: tuple[int, ...], sketches: dict[i
     return runs.repartition("lang", "prefix").groupBy("lang", "prefix", "phrase").agg(F.sum("n").alias("n")).select("lang", "phrase", "n")
 
 
-def frequent_sketch(frequent: DataFrame) -> np.ndarray:
-    """A bit per phrase of ``lang``, ``phrase``: at most ``SKETCH_BITS`` bits reach the driver, however many phrases there are."""
-    at = F.xxhash64("lang", "phrase").bitwiseAND(F.lit(SKETCH_BITS - 1))
-    words = frequent.select(F.shiftright(at, 6).alias("w"), F.call_function("shiftleft", F.lit(1).cast("bigint"), at.bitwiseAND(F.lit(63)).cast("int")).alias("b"))
-    found = words.groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
+def frequent_digests(scripts: DataFrame, length: int, sketches: dict[int, object], least: int) -> tuple[np.ndarray, DataFrame]:
+    """A sketch of the phrases of ``length`` words found ``least`` times or more, and ``lang``, ``n``: words read.
+
+    Tasks send sorted strips of digests with their counts, cut at the upper bits, and each range of digests is summed. Phrases
+    that share a digest count together, so none is lost. At most ``SKETCH_BITS`` bits reach the driver, however many phrases there are.
+    """
+    spark = scripts.sparkSession
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) * 4 - 1).bit_length()
+
+    def strips(found: list[np.ndarray], sums: list[np.ndarray]):
+        digests, n = _summed(np.concatenate(found), np.concatenate(sums))
+        cut = np.searchsorted(digests, np.arange(1, 1 << parts, dtype=np.uint64) << np.uint64(64 - parts))
+        for part, (d, c) in enumerate(zip(np.split(digests, cut), np.split(n, cut))):
+            if len(d):
+                yield part, _strip(d, np.minimum(c, least))
+
+    def run(batches):
+        reader = PhraseReader((length,), {k: s.value for k, s in sketches.items()})
+        found, sums, size, total = [], [], 0, Counter()
+
+        def sent():
+            part, strip = zip(*strips(found, sums)) if size else ([], [])
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(strip, pa.binary()), pa.nulls(len(part), pa.string()), pa.nulls(len(part), pa.int64())],
+                                             names=["part", "strip", "lang", "n"])
+
+        for batch in portions(batches):
+            for lang, texts in _texts_by_lang(batch).items():
+                for _, digests, _, _ in reader.read(lang, texts):
+                    total[lang] += len(digests)
+                    digests, n = np.unique(digests, return_counts=True)
+                    found.append(digests)
+                    sums.append(n)
+                    size += len(digests)
+                if size > _STRIPS:
+                    yield from sent()
+                    found, sums, size = [], [], 0
+            if len(reader.spelled) > KNOWN:
+                reader.forget()
+        yield from sent()
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(total), pa.int32()), pa.nulls(len(total), pa.binary()), pa.array(list(total), pa.string()),
+                                          pa.array(list(total.values()), pa.int64())], names=["part", "strip", "lang", "n"])
+
+    def frequent(batches):
+        now, held = None, []
+
+        def done():
+            digests, n = _summed(*(np.concatenate(x) for x in zip(*map(_unstrip, held))))
+            at = digests[n >= least] & np.uint64(SKETCH_BITS - 1)
+            return pa.RecordBatch.from_arrays([pa.array((at >> np.uint64(6)).view(np.int64)), pa.array((np.uint64(1) << (at & np.uint64(63))).view(np.int64))], names=["w", "b"])
+
+        for batch in batches:
+            for part, strip in zip(column_of(batch, "part").to_pylist(), column_of(batch, "strip")):
+                if part != now and held:
+                    yield done()
+                    held = []
+                now = part
+                held.append(strip.as_py())
+        if held:
+            yield done()
+
+    read = stage(importable(scripts).mapInArrow(run, "part int, strip binary, lang string, n bigint"))
+    by_part = read.where("part IS NOT NULL").select("part", "strip").repartition("part").sortWithinPartitions("part")
+    bits = by_part.mapInArrow(frequent, "w bigint, b bigint").groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
     sketch = np.zeros(SKETCH_BITS >> 6, np.uint64)
-    sketch[found["w"].to_numpy()] = found["b"].to_numpy().view(np.uint64)
-    return sketch
+    sketch[bits["w"].to_numpy()] = bits["b"].to_numpy().view(np.uint64)
+    return sketch, read.where("lang IS NOT NULL").groupBy("lang").agg(F.sum("n").alias("n"))
+
+
+def _summed(digests: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    each, at = np.unique(digests, return_inverse=True)
+    return each, np.bincount(at, n, len(each)).astype(np.int64)
+
+
+def _strip(digests: np.ndarray, n: np.ndarray) -> bytes:
+    """Sorted digests byte by byte, so that the upper ones, which hardly change, and the counts pack well."""
+    planes = np.concatenate([digests.view(np.uint8).reshape(-1, 8).T.ravel(), n.astype("<u4").view(np.uint8).reshape(-1, 4).T.ravel()])
+    return len(digests).to_bytes(8, "little") + zlib.compress(planes.tobytes(), 1)
+
+
+def _unstrip(strip: bytes) -> tuple[np.ndarray, np.ndarray]:
+    size = int.from_bytes(strip[:8], "little")
+    planes = np.frombuffer(zlib.decompress(strip[8:]), np.uint8)
+    digests = np.ascontiguousarray(planes[:8 * size].reshape(8, size).T).view(np.uint64).ravel()
+    return digests, np.ascontiguousarray(planes[8 * size:].reshape(4, size).T).view("<u4").ravel()
 
 
 def mine_collocations(scripts: DataFrame, min_count: int = 100, top: int = 2000, held: int = HELD, burst: int = BURST) -> DataFrame:
@@ -280,36 +364,27 @@ def mine_collocations(scripts: DataFrame, min_count: int = 100, top: int = 2000,
     equal ones the first. A candidate inside a longer one that is as frequent is dropped. Result, at most ``top`` rows per
     language: ``lang``, ``rank`` (from 1; by score, then ``a``, both descending, then phrase), ``phrase``, ``a``, ``l``, ``r``, ``n``, ``score``.
 
-    The texts are read once per entry of ``READINGS``. What is frequent so far travels as a sketch of fixed size; counts
-    themselves stay in Spark. ``held`` bounds the entries of a task's trie, ``burst`` those of a container.
+    The texts are read once per length in ``SIFTED``, for a sketch of what is frequent, whose size is fixed, and once to count what
+    the sketches leave; the more a corpus fills them, the less they leave out, and the more is spilled. ``held`` bounds the entries of
+    a task's trie, ``burst`` those of a container.
     """
     lang = F.coalesce(F.col("lang").cast("string"), F.lit("und"))
     texts = scripts.select(lang.alias("lang"), F.col("text").cast("string").alias("text"))
     context = scripts.sparkSession.sparkContext
-    sketches, tables, totals = {}, [], None
-    for lengths in READINGS:
-        counts = count_phrases(texts, lengths, dict(sketches), held, burst)
-        if totals is None:
-            # Words are many and phrases of them few, so the sum of all words is taken from the same staged counts.
-            counts = stage(counts)
-            totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
-            tables.append(counts.where(F.col("n") >= min_count))
-        else:
-            tables.append(stage(counts.where(F.col("n") >= min_count)))
-        if lengths != READINGS[-1]:
-            sketches[lengths[-1]] = context.broadcast(frequent_sketch(tables[-1]))
-    frequent = tables[0]
-    for table in tables[1:]:
-        frequent = frequent.unionByName(table)
-    return _ranked(_scored(tables, frequent, totals), top)
+    sketches, totals = {}, None
+    for length in SIFTED:
+        sketch, words = frequent_digests(texts, length, dict(sketches), min_count)
+        sketches[length] = context.broadcast(sketch)
+        totals = words if totals is None else totals
+    counts = count_phrases(texts, COUNTED, sketches, held, burst)
+    frequent = stage(counts.where(F.col("n") >= min_count))
+    return _ranked(_scored(frequent, totals.withColumnRenamed("n", "total")), top)
 
 
-def _scored(tables: list[DataFrame], frequent: DataFrame, totals: DataFrame) -> DataFrame:
+def _scored(frequent: DataFrame, totals: DataFrame) -> DataFrame:
     """Candidates with their lowest cut; those as frequent as a longer one are left out."""
-    longer = tables[1]
-    for table in tables[2:]:
-        longer = longer.unionByName(table)
-    candidates = longer.select("lang", "phrase", F.col("n").alias("a"), F.split("phrase", " ").alias("words"))
+    words = F.split("phrase", " ")
+    candidates = frequent.where(F.size(words) > 1).select("lang", "phrase", F.col("n").alias("a"), words.alias("words"))
 
     def part(start: Column, length: Column) -> Column:
         return F.array_join(F.slice("words", start, length), " ")

@@ -4,6 +4,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 from spanweave.llm import collocations
@@ -47,7 +48,8 @@ def brute(rows, least, top):
 @pytest.mark.parametrize("top, held, burst", [(2000, 300_000, 4096), (7, 30, 3)])
 def test_collocations_by_brute_force(spark, monkeypatch, top, held, burst):
     if held < 100:
-        monkeypatch.setattr(collocations, "_ROWS", 7)
+        for name, value in (("_ROWS", 7), ("_STRIPS", 5), ("KNOWN", 4)):
+            monkeypatch.setattr(collocations, name, value)
     rows = texts()
     df = spark.createDataFrame([(i % 9, t, lang, "clash", 1, 2) for i, (t, lang) in enumerate(rows)],
                                "media_id bigint, text string, lang string, phrase string, n int, prefix int").repartition(3)
@@ -79,12 +81,19 @@ def test_long_text_in_slices_loses_no_phrase(monkeypatch):
     for lengths in ((1,), (2,), (4, 5)):
         whole = counted(PhraseCounter(lengths, {}), [text])
         monkeypatch.setattr(collocations, "_SLICE", 64)
-        monkeypatch.setattr(collocations, "KNOWN", 3)
+        monkeypatch.setattr(collocations, "KNOWN", 1)
         assert counted(PhraseCounter(lengths, {}, held=10, burst=2), [text]) == whole
         monkeypatch.undo()
     assert sum(counted(PhraseCounter((1,), {}), [text]).values()) == len(words)
 
 
+def test_equal_digests_do_not_mix_counts(monkeypatch):
+    text = b"a b c a b. b c a, c a"
+    want = counted(PhraseCounter((1, 2, 3), {}), [text])
+    monkeypatch.setattr(collocations, "_longer", lambda before, word: before * np.uint64(0))
+    assert counted(PhraseCounter((1, 2, 3), {}), [text]) == want
+
+
 def test_trie_bursts_and_spills_whole_subtrees():
     rng, trie, want = random.Random(2), HatTrie(burst=2), Counter()
     for _ in range(3000):
