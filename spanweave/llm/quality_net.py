@@ -10,7 +10,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField
 
@@ -155,24 +155,30 @@ def training_sample(scripts: DataFrame, labels: DataFrame) -> DataFrame:
     """``text_slices`` and ``label`` of at most ``TRAIN_ROWS`` labelled media per class, in an order set by hash.
 
     ``labels``: ``media_id``, ``label`` (0 or 1; other values and nulls are left out). The media are chosen among
-    the labels, so the texts are read without a shuffle.
+    the labels, so of the texts only those are shuffled.
     """
     known = labels.where(F.col("label").isin(0, 1)).select("media_id", F.col("label").cast("int").alias("label"))
+    # An id that is labelled more than once counts once, with its smallest label.
+    known = known.groupBy("media_id").agg(F.min("label").alias("label"))
     by_hash = [F.xxhash64(F.col("media_id")), F.col("media_id")]
     chosen = known.where("label = 0").orderBy(*by_hash).limit(TRAIN_ROWS).union(known.where("label = 1").orderBy(*by_hash).limit(TRAIN_ROWS))
-    rows = filled_text(scripts_of(scripts)).join(F.broadcast(chosen), "media_id")  # 2 * TRAIN_ROWS ids at most
-    step = F.greatest(F.char_length("text") - TRAIN_CHARS, F.lit(0)) / (TRAIN_SLICES - 1)
-    slices = F.transform(F.sequence(F.lit(0), F.lit(TRAIN_SLICES - 1)),
-                         lambda i: F.substring(F.col("text"), F.floor(i * step).cast("int") + 1, F.lit(TRAIN_CHARS)))
-    picked = F.when(F.char_length("text") <= TRAIN_CHARS * TRAIN_SLICES, F.array("text")).otherwise(slices)
-    return rows.select("media_id", picked.alias("text_slices"), "label")
+    # One text of each id, the one with the smallest hash, so that the bound on ids is one on texts.
+    digest = F.struct(F.xxhash64("text"), F.xxhash64(F.lit(1), "text"))
+    own = filled_text(scripts_of(scripts)).join(F.broadcast(chosen), "media_id")  # 2 * TRAIN_ROWS ids at most
+    least = F.min(F.struct(digest.alias("d"), "label", _slices(F.col("text")).alias("text_slices")))
+    return own.groupBy("media_id").agg(least.alias("r")).select("media_id", "r.text_slices", "r.label")
+
+
+def _slices(text: Column) -> Column:
+    """A short text whole; of a longer one slices over all of its length."""
+    step = F.greatest(F.char_length(text) - TRAIN_CHARS, F.lit(0)) / (TRAIN_SLICES - 1)
+    slices = F.transform(F.sequence(F.lit(0), F.lit(TRAIN_SLICES - 1)), lambda i: F.substring(text, F.floor(i * step).cast("int") + 1, F.lit(TRAIN_CHARS)))
+    return F.when(F.char_length(text) <= TRAIN_CHARS * TRAIN_SLICES, F.array(text)).otherwise(slices)
 
 
 def fit_quality(scripts: DataFrame, labels: DataFrame) -> Network:
     """Train on a bounded sample of labelled media, see ``training_sample``; the driver holds that sample alone."""
-    rows = training_sample(scripts, labels).collect()
-    # More than one row of an id: all of them teach, up to the bound.
-    rows = sorted(rows, key=lambda r: (str(r.media_id), r.text_slices))[:4 * TRAIN_ROWS]
+    rows = sorted(training_sample(scripts, labels).collect(), key=lambda r: (str(r.media_id), r.text_slices))
     texts = ["".join(r.text_slices).encode("utf-8", "surrogatepass") for r in rows]
     return train(texts, np.array([r.label for r in rows], np.int64))
 
