@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 from collections.abc import Callable, Iterator
 from pathlib import Path
@@ -57,6 +59,15 @@ def portions(batches: Iterator[pa.RecordBatch], limit: int = 2 << 20) -> Iterato
             yield batch.slice(at, rows)
 
 
+def give_back() -> None:
+    """Return what a worker has freed to the system, so that it stands idle beside the next stage with little."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's
+    if trim is not None:
+        trim(0)
+
+
 def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     return [t or "" for t in batch.column(batch.schema.get_field_index(column)).to_pylist()]
 
