@@ -34,6 +34,10 @@ _RAGGED = re.compile(r"\s | \s")
 REMEMBERED = 250_000
 #: Characters encoded together; their new pieces are encoded in order.
 _SLICE = 2 << 20
+#: White space in a row that the library's pattern is not trusted with.
+LONG_BLANK = 50_000
+#: Ids decoded together.
+_IDS = 1 << 17
 #: Marks an added token among pieces; no text holds this surrogate.
 _ADDED = "\udfff"
 
@@ -266,10 +270,64 @@ def library_encoder(spec: str):
     """The same ids from a tokenizer library, for operators to which ids are only a means."""
     import tiktoken
 
-    vocabulary = _vocabulary(spec)
+    vocabulary, own = _vocabulary(spec), text_encoder(spec)
+    blank = re.compile(r"\s{999,}")
     pattern = SPLIT.replace(r"\P{White_Space}", r"\S").replace(r"\p{White_Space}", r"\s")
     library = tiktoken.Encoding("texts", pat_str=pattern, mergeable_ranks=vocabulary.ids, special_tokens=vocabulary.added)
-    return lambda texts: (library.encode_to_numpy(t, allowed_special="all").astype("<i4").tobytes() for t in texts)
+
+    def encode(text: str) -> bytes:
+        if any(m.end() - m.start() >= LONG_BLANK for m in blank.finditer(text)):
+            return next(own([text]))
+        return library.encode_to_numpy(text, allowed_special="all").astype("<i4").tobytes()
+
+    return lambda texts: map(encode, texts)
+
+
+class TokenTable:
+    """The bytes of all tokens in one array, by id; ids that the vocabulary lacks are empty."""
+
+    def __init__(self, tokens: dict[int, bytes]):
+        held = [tokens.get(i, b"") for i in range(max(tokens, default=-1) + 1)] + [b""]
+        self.sizes = np.array([len(t) for t in held], np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.data = np.frombuffer(b"".join(held), np.uint8)
+
+    def bytes_of(self, ids: np.ndarray) -> tuple[bytes, np.ndarray]:
+        """The bytes of ids, and how many there are before each and in all."""
+        none = len(self.sizes) - 1
+        ids = np.where((ids < 0) | (ids > none), none, ids)
+        sizes = self.sizes[ids]
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        at = np.repeat(self.starts[ids] - ends[:-1], sizes)
+        at += np.arange(len(at))
+        return self.data[at].tobytes(), ends
+
+    def texts(self, lists: pa.ListArray) -> list[str]:
+        offsets, values = lists.offsets.to_numpy(), lists.values
+        if values.null_count:
+            values = values.fill_null(-1)
+        values = values.to_numpy()
+        if lists.null_count:
+            return [self._long(values[a:b]) if there else "" for a, b, there in zip(offsets[:-1], offsets[1:], lists.is_valid().to_pylist())]
+        out, at = [], 0
+        while at < len(lists):  # lists together, as long as they are few ids; a longer one alone
+            end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + _IDS, "right")) - 1)
+            if end == at + 1:
+                out.append(self._long(values[offsets[at]:offsets[end]]))
+            else:
+                data, ends = self.bytes_of(values[offsets[at]:offsets[end]])
+                cuts = ends[offsets[at:end + 1] - offsets[at]].tolist()
+                out += [data[a:b].decode("utf-8", "replace") for a, b in zip(cuts, cuts[1:])]
+            at = end
+        return out
+
+    def _long(self, ids: np.ndarray) -> str:
+        return b"".join(self.bytes_of(ids[i:i + _IDS])[0] for i in range(0, len(ids), _IDS)).decode("utf-8", "replace")
+
+
+@lru_cache(maxsize=2)
+def token_table(spec: str) -> TokenTable:
+    return TokenTable(_vocabulary(spec).tokens)
 
 
 def read_spec(df: DataFrame, tokenizer: str):
@@ -308,24 +366,11 @@ def decode_scripts(tokens: DataFrame, tokenizer: str) -> DataFrame:
     spec = read_spec(tokens, tokenizer)
 
     def run(batches):
-        table = _vocabulary(spec.value).tokens
+        table = token_table(spec.value)
         for batch in batches:
             column = column_of(batch, "token_ids")
-            texts = [b"".join([table.get(i, b"") for i in ids]).decode("utf-8", "replace") if ids else ""
-                     for ids in _lists(column)]
-            yield pa.RecordBatch.from_arrays([column_of(batch, "media_id"), column, pa.array(texts, pa.string())],
-                                             names=["media_id", "token_ids", "text"])
+            texts = pa.array(table.texts(column), pa.string())
+            yield pa.RecordBatch.from_arrays([column_of(batch, "media_id"), column, texts], names=["media_id", "token_ids", "text"])
 
     return map_batches(tokens.select("media_id", "token_ids"), run, StructField("text", StringType(), True),
                        keep=("media_id", "token_ids"))
-
-
-def _lists(column: pa.ListArray):
-    """Each list as Python ints, one at a time."""
-    offsets, values = column.offsets.to_numpy(), column.values
-    present = column.is_valid().to_numpy(zero_copy_only=False)
-    if values.null_count:
-        values = values.fill_null(-1)
-    values = values.to_numpy()
-    for i, there in enumerate(present):
-        yield values[offsets[i]:offsets[i + 1]].tolist() if there else []
