@@ -34,8 +34,8 @@ def tokenize_offsets(cues: DataFrame) -> DataFrame:
 def lexicon_join(tokens: DataFrame, lexicon: DataFrame) -> DataFrame:
     """Tokens with a listed word or prefix, as joins against a lexicon table.
 
-    The exact part is an equi-join. Prefixes join by their own text too: a token is looked up under each
-    of its leading pieces that is as long as some prefix, which keeps a large lexicon off nested loops.
+    The exact part is an equi-join. Prefixes join by their own text too: a token is looked up under its leading pieces of
+    the lengths that prefixes have, so neither a large lexicon nor a long token makes more of them.
     """
     exact = lexicon.where("match_kind = 'exact'").select(
         F.col("word").alias("norm"), "tier", F.lit(0).alias("kind"))
@@ -44,9 +44,11 @@ def lexicon_join(tokens: DataFrame, lexicon: DataFrame) -> DataFrame:
         F.col("tier") == "blasphemy", 2).otherwise(3)
     # Distinct words, so that a word repeated all over the library is matched once.
     words = tokens.where("norm <> ''").select("norm").distinct()
-    by_head = (words.withColumn("head", F.explode(F.transform(
-        F.sequence(F.lit(1), F.length("norm")), lambda n: F.substring("norm", F.lit(1), n))))
-        .join(prefixes, "head").select("norm", "tier", F.lit(1).alias("kind")))
+    # One row, with as many numbers as prefixes have lengths.
+    lengths = prefixes.agg(F.collect_set(F.length("head")).alias("lengths"))
+    fitting = F.filter("lengths", lambda n: n <= F.length("norm"))
+    heads = words.crossJoin(F.broadcast(lengths)).select("norm", F.explode(fitting).alias("n")).withColumn("head", F.substring(F.col("norm"), F.lit(1), F.col("n")))
+    by_head = heads.join(prefixes, "head").select("norm", "tier", F.lit(1).alias("kind"))
     # Staged, so that the planner knows how few they are; from an estimate it would shuffle all tokens to meet them.
     hits = stage(words.join(exact, "norm").select("norm", "tier", "kind").unionByName(by_head)
                  .groupBy("norm").agg(F.min(F.struct(rank.alias("r"), "tier"))["tier"].alias("tier")))

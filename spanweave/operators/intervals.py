@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanweave.operators.scan import BLOCK_MS, Running, asof, bins, block_of, running, time_blocks
+from spanweave.operators.ranges import at_levels, best_holder, with_ranges
+from spanweave.operators.scan import BLOCK_MS, Running, asof, block_of, running, time_blocks, union_all
 
 MEDIA = "media_id"
 
@@ -56,16 +57,29 @@ def merge_hits(hits: DataFrame, keys=(MEDIA,), gap_ms: int = 750, seq: str = "se
     so far does not hold it. ``seq`` breaks ties between equal starts. The label names every word of a
     burst, so a burst is one value by definition; the media around it is not.
     """
+    return named_bursts(merge_bursts(hit_bursts(hits, seq), keys, gap_ms), keys)
+
+
+def hit_bursts(hits: DataFrame, seq: str = "seq") -> DataFrame:
+    """Each hit as a burst of its own: ``hits`` beside the columns that are not of the hit."""
+    hit = F.struct("start_ms", F.col(seq).alias("seq"), "word", "context")
+    return hits.withColumn("hits", F.array(hit)).drop(*{seq, "word", "context"})
+
+
+def merge_bursts(bursts: DataFrame, keys=(MEDIA,), gap_ms: int = 750) -> DataFrame:
+    """Bursts of bursts: ``start_ms``, ``end_ms``, the lowest ``confidence`` and the ``hits`` in order.
+
+    Merging what has been merged gives what merging all at once does, in whatever order and grouping.
+    """
     keys = list(keys)
-    where = islands(hits, keys, gap_ms).select(*keys, "start_ms", "island_ms")
-    bursts = hits.join(where, [*keys, "start_ms"]).groupBy(*keys, "island_ms").agg(*burst_aggregates(seq))
-    return bursts.select(*keys, F.col("island_ms").alias("start_ms"), "end_ms", *burst_label())
+    where = islands(bursts, keys, gap_ms).select(*keys, "start_ms", "island_ms")
+    return bursts.join(where, [*keys, "start_ms"]).groupBy(*keys, F.col("island_ms").alias("start_ms")).agg(
+        F.max("end_ms").alias("end_ms"), F.min("confidence").alias("confidence"), F.array_sort(F.flatten(F.collect_list("hits"))).alias("hits"))
 
 
-def burst_aggregates(seq: str = "seq") -> list[Column]:
-    """What a burst keeps of its hits: its end, its lowest confidence and the hits for its label."""
-    return [F.max("end_ms").alias("end_ms"), F.min("confidence").alias("confidence"),
-            F.array_sort(F.collect_list(F.struct("start_ms", seq, "word", "context"))).alias("hits")]
+def named_bursts(bursts: DataFrame, keys=(MEDIA,)) -> DataFrame:
+    """Bursts with the words, the confidence and the folded context of their hits."""
+    return bursts.select(*keys, "start_ms", "end_ms", *burst_label())
 
 
 def burst_label() -> list[Column]:
@@ -133,31 +147,31 @@ def map_output_to_source(points: DataFrame, mapping: DataFrame, at: str = "out_m
     return placed.select(*points.columns, source.cast("bigint").alias("source_ms"))
 
 
-def window_overlap(findings: DataFrame, windows: DataFrame, bin_ms: int = BLOCK_MS,
-                   min_ms: int = 20) -> DataFrame:
+def window_overlap(findings: DataFrame, windows: DataFrame, min_ms: int = 20) -> DataFrame:
     """Findings overlapping each window, clipped and window-relative; slivers are dropped.
 
-    The result is the overlapping pairs themselves. Bins keep a hot media from meeting in one task, and a
-    pair is kept only in the first bin both sides share.
+    The result is the overlapping pairs themselves, and no other pairs are formed: either a finding starts inside the
+    window, or the window starts inside the finding, and both are look-ups of points in aligned ranges.
     """
-    left = bins(findings.where("end_ms >= start_ms"), F.col("start_ms"), F.col("end_ms"), bin_ms)
-    right = bins(windows, F.col("win_start"), F.col("win_end"), bin_ms)
-    pairs = left.join(right, [MEDIA, "__bin"]).where(
-        (F.col("end_ms") > F.col("win_start")) & (F.col("start_ms") < F.col("win_end"))
-        & (F.col("__bin") == F.greatest(block_of("start_ms", bin_ms), block_of("win_start", bin_ms))))
+    spans = findings.where("end_ms >= start_ms")
+    seen = with_ranges(windows, F.col("win_start"), F.col("win_end"))
+    begun = at_levels(spans, F.col("start_ms"), seen).join(seen, [MEDIA, "__level", "__node"])
+    held = with_ranges(spans, F.col("start_ms") + 1, F.col("end_ms"))
+    open_at = held.join(at_levels(windows, F.col("win_start"), held), [MEDIA, "__level", "__node"])
+    pairs = begun.unionByName(open_at).where(F.col("end_ms") > F.col("win_start"))
     clipped = pairs.withColumns({
         "rel_start": F.greatest(F.col("start_ms") - F.col("win_start"), F.lit(0)),
-        "rel_end": F.least(F.col("end_ms"), F.col("win_end")) - F.col("win_start")}).drop("__bin")
+        "rel_end": F.least(F.col("end_ms"), F.col("win_end")) - F.col("win_start")}).drop("__level", "__node")
     return clipped.where(F.col("rel_end") - F.col("rel_start") > min_ms)
 
 
-def time_bucket_split(findings: DataFrame, windows: DataFrame, bin_ms: int = BLOCK_MS) -> DataFrame:
+def time_bucket_split(findings: DataFrame, windows: DataFrame) -> DataFrame:
     """What applies in each window, by action, on the media clock and clipped to the window.
 
     Approved findings apply, and so does the finding a window was opened for (``selected_id``). One row
     per span, so that a busy window needs no list held in one task.
     """
-    pairs = window_overlap(findings, windows, bin_ms, min_ms=-1).where(
+    pairs = window_overlap(findings, windows, min_ms=-1).where(
         (F.coalesce(F.col("approved"), F.lit(False)) | (F.col("id") == F.col("selected_id")))
         & F.col("action").isin("skip", "mute", "voice", "blur"))
     kind = (F.when(F.col("action") == "skip", "cuts").when(F.col("action") == "mute", "mutes")
@@ -170,85 +184,47 @@ def time_bucket_split(findings: DataFrame, windows: DataFrame, bin_ms: int = BLO
 def coverage_ms(findings: DataFrame, windows: DataFrame) -> DataFrame:
     """Regions set to cut in each window and the time their union removes, overhang included.
 
-    No window meets its findings pair by pair. Regions are a difference of two running counts; the union
-    inside the window is a difference of two points on the running length of all cuts; what hangs over an
-    edge is a running maximum of ends and a running minimum of starts.
+    No window meets its findings pair by pair. One scan forward over starts, ends and window edges carries how many cuts
+    have begun and ended, how far they reach and how long their union is; one backward over ends carries the earliest start.
     """
     cuts = findings.where(F.col("approved").eqNullSafe(F.lit(True)) & (F.col("end_ms") >= F.col("start_ms")))
-    n = F.count(F.lit(1)).alias("n")
-    by_start = running(cuts.groupBy(MEDIA, "start_ms").agg(n, F.max("end_ms").alias("end_ms")), [MEDIA],
-                       ["start_ms"], time_blocks(), begun=Running("sum", F.col("n"), True),
-                       furthest=Running("max", F.col("end_ms"), True))
-    by_end = running(cuts.groupBy(MEDIA, "end_ms").agg(n), [MEDIA], ["end_ms"], time_blocks("end_ms"),
-                     done=Running("sum", F.col("n"), True))
-    # Descending ends, so that "every end after t" is again a prefix.
-    from_back = running(
-        cuts.groupBy(MEDIA, (-F.col("end_ms")).alias("back_ms")).agg(F.min("start_ms").alias("start_ms")),
-        [MEDIA], ["back_ms"], time_blocks("back_ms"), earliest=Running("min", F.col("start_ms"), True))
-    union = running(merge_spans(cuts).withColumn("len", F.col("end_ms") - F.col("start_ms")), [MEDIA],
-                    ["start_ms"], time_blocks(), before=Running("sum", F.col("len"))).withColumnsRenamed(
-                        {"start_ms": "u_start", "end_ms": "u_end"})
+    n, none = F.count(F.lit(1)), F.lit(None).cast("bigint")
+    reached = running(cuts.groupBy(MEDIA, "start_ms").agg(n.alias("n"), F.max("end_ms").alias("end_ms")), [MEDIA], ["start_ms"], time_blocks(),
+                      reach=Running("max", F.col("end_ms")))
+    grows = F.greatest(F.col("end_ms") - F.greatest("start_ms", "reach"), F.lit(0))
+    ends = cuts.groupBy(MEDIA, "end_ms").agg(n.alias("n"), F.min("start_ms").alias("start_ms"))
+
+    def events(at: Column, side: int, **given: Column) -> list[Column]:
+        return [F.col(MEDIA), at.alias("t"), F.lit(side).alias("side"), *[given.get(c, none).cast("bigint").alias(c) for c in ("begun", "done", "end_ms", "grown")]]
 
+    # At one instant what ends is gone and what starts has not begun, as windows are open at both sides.
     edges = windows.select(MEDIA, F.explode(F.array("win_start", "win_end")).alias("t")).distinct()
-    along = asof(edges, union, [MEDIA], "t", "u_start", ["u_start", "u_end", "before"])
-    length = F.coalesce(F.col("before") + F.least("t", "u_end") - F.col("u_start"), F.lit(0))
-    along = along.select(MEDIA, "t", length.alias("upto"))
-
-    def at(name: str, column: str) -> DataFrame:
-        return along.select(MEDIA, F.col("t").alias(column), F.col("upto").alias(name))
-
-    right = asof(windows, by_start, [MEDIA], "win_end", "start_ms", ["begun", "furthest"], inclusive=False)
-    left = asof(windows, by_end, [MEDIA], "win_start", "end_ms", ["done"])
-    back = asof(windows.withColumn("win_back", -F.col("win_start")), from_back, [MEDIA], "win_back",
-                "back_ms", ["earliest"], inclusive=False)
-    joined = (windows.withColumn("win_back", -F.col("win_start"))
-              .join(right, [MEDIA, "win_end"], "left").join(left, [MEDIA, "win_start"], "left")
-              .join(back, [MEDIA, "win_back"], "left").join(at("u0", "win_start"), [MEDIA, "win_start"], "left")
-              .join(at("u1", "win_end"), [MEDIA, "win_end"], "left"))
-    zero = F.lit(0)
-    inside = F.col("u1") - F.col("u0")
-    over_left = F.greatest(F.col("win_start") - F.coalesce("earliest", "win_start"), zero)
-    over_right = F.greatest(F.coalesce("furthest", "win_end") - F.col("win_end"), zero)
-    return joined.select(
-        "window_id", MEDIA,
-        (F.coalesce("begun", zero) - F.coalesce("done", zero)).cast("bigint").alias("regions"),
-        (inside + over_left + over_right).cast("bigint").alias("removed_ms"))
-
-
-_LEVELS = 41  # 2^40 ms is beyond thirty years of media clock
-
-
-def _dyadic_nodes(start: Column, end: Column) -> Column:
-    """The O(log n) aligned power-of-two ranges that make up ``[start, end)``."""
-    def at_level(k: Column) -> Column:
-        size = F.call_function("shiftleft", F.lit(1).cast("bigint"), k)
-        lo = F.call_function("div", start + size - 1, size)
-        hi = F.call_function("div", end, size)
-        odd_lo, odd_hi = lo % 2 == 1, hi % 2 == 1
-        first = F.when((lo < hi) & odd_lo, F.struct(k.alias("level"), lo.alias("node")))
-        second = F.when((lo + odd_lo.cast("int") < hi) & odd_hi,
-                        F.struct(k.alias("level"), (hi - 1).alias("node")))
-        return F.array_compact(F.array(first, second))
-
-    # No aligned range inside is longer than the whole.
-    top = F.floor(F.log2((end - start).cast("double"))).cast("int")
-    return F.flatten(F.transform(F.sequence(F.lit(0), F.least(top, F.lit(_LEVELS - 1))), at_level))
+    ahead = union_all([ends.select(*events(F.col("end_ms"), 0, done=F.col("n"))), edges.select(*events(F.col("t"), 1)),
+                       reached.select(*events(F.col("start_ms"), 2, begun=F.col("n"), end_ms=F.col("end_ms"), grown=grows))])
+    seen = running(ahead, [MEDIA], ["t", "side"], [("t", block_of("t", BLOCK_MS))], n_begun=Running("sum", F.col("begun")), n_done=Running("sum", F.col("done")),
+                   furthest=Running("max", F.col("end_ms")), length=Running("sum", F.col("grown"))).where("side = 1")
+    # All of the union beyond an edge belongs to cuts that have begun before it.
+    covered = F.col("length") - F.greatest(F.col("furthest") - F.col("t"), F.lit(0))
+    seen = seen.select(MEDIA, "t", "n_begun", "n_done", "furthest", F.coalesce(covered, F.lit(0)).alias("covered"))
+
+    back = union_all([ends.select(MEDIA, (-F.col("end_ms")).alias("back"), F.lit(0).alias("side"), "start_ms"),
+                      windows.select(MEDIA, (-F.col("win_start")).alias("back")).distinct().select(MEDIA, "back", F.lit(-1).alias("side"), none.alias("start_ms"))])
+    earliest = running(back, [MEDIA], ["back", "side"], [("back", block_of("back", BLOCK_MS))], earliest=Running("min", F.col("start_ms"))).where(
+        "side = -1").select(MEDIA, (-F.col("back")).alias("win_start"), "earliest")
+
+    at_start = seen.select(MEDIA, F.col("t").alias("win_start"), "n_done", F.col("covered").alias("u0"))
+    at_end = seen.select(MEDIA, F.col("t").alias("win_end"), "n_begun", "furthest", F.col("covered").alias("u1"))
+    joined = windows.join(at_start.join(earliest, [MEDIA, "win_start"]), [MEDIA, "win_start"], "left").join(at_end, [MEDIA, "win_end"], "left")
+    over_left = F.greatest(F.col("win_start") - F.coalesce("earliest", "win_start"), F.lit(0))
+    over_right = F.greatest(F.coalesce("furthest", "win_end") - F.col("win_end"), F.lit(0))
+    return joined.select("window_id", MEDIA, F.coalesce(F.col("n_begun") - F.col("n_done"), F.lit(0)).cast("bigint").alias("regions"),
+                         F.coalesce(F.col("u1") - F.col("u0") + over_left + over_right, F.lit(0)).cast("bigint").alias("removed_ms"))
 
 
 def containing_shortest(findings: DataFrame, points: DataFrame) -> DataFrame:
-    """For each distinct ``(media, t_ms)`` the shortest finding holding it, if any.
-
-    Each finding is split into aligned ranges, each range keeps only its best finding, and a point looks
-    up the one range per level it lies in: two equi-joins' worth of work, however many findings overlap.
-    """
-    best = (findings.where("end_ms >= start_ms")
-            .withColumn("nd", F.explode(_dyadic_nodes(F.col("start_ms"), F.col("end_ms") + 1)))
-            .groupBy(MEDIA, F.col("nd.level").alias("level"), F.col("nd.node").alias("node"))
-            .agg(F.min(F.struct((F.col("end_ms") - F.col("start_ms")).alias("len"), "start_ms", "id")).alias("best")))
-    asked = (points.select(MEDIA, "t_ms").distinct()
-             .withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(_LEVELS - 1))))
-             .withColumn("node", F.expr("shiftright(t_ms, level)")))
-    return asked.join(best, [MEDIA, "level", "node"]).groupBy(MEDIA, "t_ms").agg(F.min("best").alias("best"))
+    """For each distinct ``(media, t_ms)`` the shortest finding holding it, if any, however many overlap there."""
+    best = F.struct((F.col("end_ms") - F.col("start_ms")).alias("len"), "start_ms", "id")
+    return best_holder(findings.where("end_ms >= start_ms"), points, [MEDIA], F.col("start_ms"), F.col("end_ms") + 1, "t_ms", best)
 
 
 def nearest_finding(findings: DataFrame, points: DataFrame) -> DataFrame:

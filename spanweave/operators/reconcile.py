@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from spanweave.functions.policy import merge_severity
 from spanweave.functions.text import finding_type
 from spanweave.functions.timefmt import fix_inverted
-from spanweave.operators.scan import BLOCK_MS, block_of, bins, global_rank, id_blocks, row_rank, running, Running
+from spanweave.operators.ranges import best_holder
+from spanweave.operators.scan import BLOCK_MS, block_of, global_rank, id_blocks, row_rank, running, Running
 from spanweave.schema import FINDING_COLUMNS
 
 MEDIA = "media_id"
@@ -81,19 +82,65 @@ EDITABLE = {"approved": True, "start_ms": False, "end_ms": False, "action": Fals
             "category": False}
 
 
+#: Bits of ``seq`` by which edits of a finding are reduced at a time; that many edits at most are held as a list.
+_EDIT_BITS = 16
+
+
+def _moves(edits: DataFrame) -> DataFrame:
+    """What all span edits of a finding do together, in the order of ``seq``, as one move per ``(media, id)``.
+
+    An edit sets one end or both and puts the span in order, so from then on each end is one of the old ends, or a constant,
+    held between two bounds. Such moves compose into moves of the same form, so runs of edits are reduced level by level and no
+    finding needs a list of its edits. Columns: ``source`` (0 from start, 1 from end), ``low_a``, ``high_a``, ``low_b``, ``high_b``.
+    """
+    start, end = F.col("new_start"), F.col("new_end")
+    none, low = F.lit(None).cast("bigint"), F.lit(-(1 << 63)).cast("bigint")
+    high = F.lit((1 << 63) - 1).cast("bigint")
+
+    def move(source: Column, *bounds: Column) -> Column:
+        return F.struct(source.alias("source"), *[x.cast("bigint").alias(n) for x, n in zip(bounds, ("low_a", "high_a", "low_b", "high_b"))])
+
+    least, most = F.least(start, end), F.greatest(start, end)
+    one = (F.when(start.isNotNull() & end.isNotNull(), move(F.lit(0), least, least, most, most))
+           .when(start.isNotNull(), move(F.lit(1), low, start, start, high)).otherwise(move(F.lit(0), low, end, end, high)))
+
+    def held(x: Column, lo: Column, hi: Column) -> Column:
+        return F.greatest(lo, F.least(x, hi))
+
+    def then(m: Column, nxt: Column) -> Column:
+        # The next move starts from one of this one's ends; its bounds close in on that end's own.
+        lo, hi = F.when(nxt["source"] == 0, m["low_a"]).otherwise(m["low_b"]), F.when(nxt["source"] == 0, m["high_a"]).otherwise(m["high_b"])
+        bounds = [held(x, nxt[f"low_{e}"], nxt[f"high_{e}"]) for e in "ab" for x in (lo, hi)]
+        return move(m["source"], *bounds)
+
+    # Of equal edits at one place in the order, those after the second change nothing.
+    level = edits.where(start.isNotNull() | end.isNotNull()).groupBy(MEDIA, "id", F.col("seq").cast("bigint").alias("at"), "new_start", "new_end").agg(
+        F.count(F.lit(1)).alias("n")).withColumn("again", F.explode(F.sequence(F.lit(1), F.least("n", F.lit(2))))).select(
+            MEDIA, "id", "at", F.struct(start.alias("s"), end.alias("e"), "again").alias("tie"), one.alias("move"))
+    for _ in range(64 // _EDIT_BITS):
+        level = level.groupBy(MEDIA, "id", F.shiftright("at", _EDIT_BITS).alias("up")).agg(F.array_sort(F.collect_list(F.struct("at", "tie", "move"))).alias("parts"))
+        first, later = F.get("parts", F.lit(0))["move"], F.slice("parts", F.lit(2), F.greatest(F.size("parts") - 1, F.lit(0)))
+        level = level.select(MEDIA, "id", F.col("up").alias("at"), F.lit(0).alias("tie"), F.aggregate(later, first, lambda m, p: then(m, p["move"])).alias("move"))
+    # Before and after zero remain: the sign is all that is left of the order.
+    negative = F.max_by("move", F.when(F.col("at") < 0, 1))
+    rest = F.max_by("move", F.when(F.col("at") >= 0, 1))
+    return level.groupBy(MEDIA, "id").agg(negative.alias("m"), rest.alias("r")).select(
+        MEDIA, "id", F.when(F.col("m").isNull(), F.col("r")).when(F.col("r").isNull(), F.col("m")).otherwise(then(F.col("m"), F.col("r"))).alias("move"))
+
+
 def apply_edits(findings: DataFrame, edits: DataFrame) -> DataFrame:
     """Partial updates by (media, id): sent fields only, last one sent wins; spans are put in order after each edit.
 
-    ``edits`` has the editable columns, ``fields_sent`` and an ordering ``seq``. Edits are reduced per
-    finding before they meet the findings; only those that send a start or an end are kept in order.
+    ``edits`` has the editable columns, ``fields_sent`` and an integer ``seq`` that orders them; span edits of equal ``seq`` follow their
+    values. Edits are reduced per finding before they meet the findings, whatever their number.
     """
     ends = [f for f in ("start_ms", "end_ms") if f in edits.columns]
     fields = [f for f in EDITABLE if f in edits.columns and f not in ends]
 
     def moved(field: str) -> Column:
         if field not in ends:
-            return F.lit(None).cast("bigint").alias(field)
-        return F.when(F.array_contains("fields_sent", field), F.greatest(F.col(field), F.when(F.col(field).isNotNull(), 0))).cast("bigint").alias(field)
+            return F.lit(None).cast("bigint")
+        return F.when(F.array_contains("fields_sent", field), F.greatest(F.col(field), F.when(F.col(field).isNotNull(), 0))).cast("bigint")
 
     def latest(field: str) -> Column:
         sent = F.array_contains("fields_sent", field)
@@ -101,9 +148,10 @@ def apply_edits(findings: DataFrame, edits: DataFrame) -> DataFrame:
             sent = sent & F.col(field).isNotNull()
         return F.max_by(F.struct(F.col(field).alias("v")), F.when(sent, F.col("seq"))).alias(f"new_{field}")
 
-    move = F.struct("seq", moved("start_ms"), moved("end_ms"))
-    moves = F.array_sort(F.collect_list(F.when(move["start_ms"].isNotNull() | move["end_ms"].isNotNull(), move)))
-    reduced = edits.groupBy(MEDIA, "id").agg(F.min("seq").alias("first_seq"), moves.alias("moves"), *[latest(f) for f in fields])
+    spans = edits.select(MEDIA, "id", "seq", moved("start_ms").alias("new_start"), moved("end_ms").alias("new_end"))
+    moves = F.min(F.when(moved("start_ms").isNotNull() | moved("end_ms").isNotNull(), F.col("seq")))
+    reduced = edits.groupBy(MEDIA, "id").agg(F.min("seq").alias("first_seq"), moves.alias("first_move"), *[latest(f) for f in fields])
+    reduced = reduced.join(_moves(spans), [MEDIA, "id"], "left")
     joined = findings.join(reduced.withColumn("edited", F.lit(True)), [MEDIA, "id"], "left")
 
     def value(field: str) -> Column:
@@ -112,19 +160,17 @@ def apply_edits(findings: DataFrame, edits: DataFrame) -> DataFrame:
             new = F.coalesce(new, F.lit(""))
         return F.when(F.col(f"new_{field}").isNotNull(), new).otherwise(F.col(field))
 
-    out = joined.withColumns({f: value(f) for f in fields})
-
-    def ordered(a: Column, b: Column) -> Column:
-        return F.struct(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
+    # An edit of another field comes first: it has put the span in order before any end moves.
+    in_order = F.col("edited") & (F.col("first_move").isNull() | (F.col("first_seq") < F.col("first_move")))
+    out = joined.withColumns({f: value(f) for f in fields}).withColumns({
+        "__a": F.when(in_order, F.least("start_ms", "end_ms")).otherwise(F.col("start_ms")),
+        "__b": F.when(in_order, F.greatest("start_ms", "end_ms")).otherwise(F.col("end_ms"))})
+    source = F.when(F.col("move.source") == 0, F.col("__a")).otherwise(F.col("__b"))
 
-    def step(span: Column, m: Column) -> Column:
-        return ordered(F.coalesce(m["start_ms"], span["a"]), F.coalesce(m["end_ms"], span["b"]))
+    def end(which: str, untouched: str) -> Column:
+        return F.when(F.col("move").isNull(), F.col(untouched)).otherwise(F.greatest(F.col(f"move.low_{which}"), F.least(source, F.col(f"move.high_{which}"))))
 
-    # An edit of another field comes first: it has put the span in order before any end moves.
-    as_is = F.struct(F.col("start_ms").alias("a"), F.col("end_ms").alias("b"))
-    first = F.when(F.col("first_seq") < F.coalesce(F.get("moves", F.lit(0))["seq"], F.col("first_seq") + 1), ordered(as_is["a"], as_is["b"])).otherwise(as_is)
-    span = F.when(F.col("edited"), F.aggregate("moves", first, step)).otherwise(as_is)
-    return out.withColumn("span", span).withColumns({"start_ms": F.col("span.a"), "end_ms": F.col("span.b")}).select(findings.columns)
+    return out.withColumns({"start_ms": end("a", "__a"), "end_ms": end("b", "__b")}).select(findings.columns)
 
 
 def set_approvals(findings: DataFrame, ids: DataFrame, approved: bool | None) -> DataFrame:
@@ -192,18 +238,14 @@ def mergeable_groups(findings: DataFrame, picks: DataFrame) -> DataFrame:
             .where("n >= 2 AND category = __last").drop("__last"))
 
 
-def split_findings(findings: DataFrame, cuts: DataFrame, floors: DataFrame | None = None,
-                   bin_ms: int = BLOCK_MS, edge_ms: int = 100) -> DataFrame:
+def split_findings(findings: DataFrame, cuts: DataFrame, floors: DataFrame | None = None, edge_ms: int = 100) -> DataFrame:
     """Cut the first finding that holds each ``(media_id, t_ms)`` well inside; the pieces behind a cut are appended.
 
     A finding hit by k cuts becomes k + 1 pieces in order; the first one keeps the id.
     """
-    asked = cuts.select(MEDIA, "t_ms").distinct().withColumn("__bin", block_of("t_ms", bin_ms))
     inner = findings.where(F.col("end_ms") - F.col("start_ms") > 2 * edge_ms)
-    reach = bins(inner.select(MEDIA, "id", "start_ms", "end_ms"), F.col("start_ms"), F.col("end_ms"), bin_ms)
-    hit = (reach.join(asked, [MEDIA, "__bin"])
-           .where((F.col("t_ms") > F.col("start_ms") + edge_ms) & (F.col("t_ms") < F.col("end_ms") - edge_ms))
-           .groupBy(MEDIA, "t_ms").agg(F.min(F.struct("start_ms", "id"))["id"].alias("id")))
+    hit = best_holder(inner, cuts, [MEDIA], F.col("start_ms") + edge_ms + 1, F.col("end_ms") - edge_ms, "t_ms", F.struct("start_ms", "id")).select(
+        MEDIA, "t_ms", F.col("best.id").alias("id"))
     along = Window.partitionBy(MEDIA, "id").orderBy("t_ms")
     pieces = hit.select(MEDIA, "id", F.col("t_ms").alias("cut_ms"), F.lead("t_ms").over(along).alias("next_ms"))
     first_cut = hit.groupBy(MEDIA, "id").agg(F.min("t_ms").alias("cut_ms"))

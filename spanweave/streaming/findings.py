@@ -7,32 +7,25 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanweave.operators.intervals import merge_hits
+from spanweave.operators.intervals import hit_bursts, merge_bursts, named_bursts
 from spanweave.operators.reconcile import high_water, merge_reanalysis
 from spanweave.operators.visual import Scorer, sample_key, score_samples
 from spanweave.schema import FINDING_COLUMNS
-from spanweave.streaming.state import KeyedLog, run_available, write_epoch
+from spanweave.streaming.state import KeyedLog, TieredRuns, run_available
 
 MEDIA = "media_id"
 
 
-def stream_merge_hits(hits: DataFrame, path: str, checkpoint: str, gap_ms: int = 750) -> KeyedLog:
+def stream_merge_hits(hits: DataFrame, path: str, checkpoint: str, gap_ms: int = 750) -> TieredRuns:
     """Bursts of all hits that have arrived, whatever the order of arrival.
 
-    The media clock starts anew with each film, so it is no event time and carries no watermark. An epoch keeps its
-    hits and merges those of the media it touches again; the log's latest rows are the bursts.
+    The media clock starts anew with each film, so it is no event time and carries no watermark. An epoch merges its own
+    hits alone and appends the bursts, so it costs what arrives, whatever has arrived before. Since bursts of bursts are the
+    bursts of their hits, runs are compacted in tiers and ``latest`` merges the few that stand.
     """
-    spark = hits.sparkSession
-    log = KeyedLog(spark, f"{path}/bursts", [MEDIA])
-
-    def each(batch: DataFrame, epoch: int) -> None:
-        write_epoch(batch, f"{path}/hits", epoch)
-        arrived = spark.read.schema(batch.schema).parquet(*[f"{path}/hits/epoch={e}" for e in range(epoch + 1)])
-        touched = spark.read.parquet(f"{path}/hits/epoch={epoch}").select(MEDIA).distinct()
-        log.write(epoch, merge_hits(arrived.join(touched, MEDIA, "left_semi"), gap_ms=gap_ms))
-
-    run_available(hits, each, checkpoint)
-    return log
+    runs = TieredRuns(hits.sparkSession, path, lambda bursts: merge_bursts(bursts, gap_ms=gap_ms), lambda bursts: named_bursts(merge_bursts(bursts, gap_ms=gap_ms)))
+    run_available(hits, lambda batch, epoch: runs.write(epoch, hit_bursts(batch.select(MEDIA, "start_ms", "end_ms", "word", "confidence", "context", "seq"))), checkpoint)
+    return runs
 
 
 def stream_incremental_reanalysis(fresh: DataFrame, prior: DataFrame, path: str, checkpoint: str,

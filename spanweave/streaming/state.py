@@ -57,6 +57,55 @@ class KeyedLog:
         rows.write.mode("overwrite").parquet(self._folder(epoch))
 
 
+class TieredRuns:
+    """A growing table whose parts ``merge`` makes fewer rows of, kept as runs of epochs.
+
+    ``merge`` is associative: merging merged parts gives what merging all rows does. An epoch writes one run; when ``fan`` runs
+    of a tier are there they become one of the next, so a row is rewritten once per tier and a reader meets fewer than ``fan`` runs
+    of each. A run's name is the epochs it holds, so a retried epoch writes the same runs again and the last epoch tells which count.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, merge: Callable[[DataFrame], DataFrame],
+                 finish: Callable[[DataFrame], DataFrame] | None = None, fan: int = 16):
+        self.spark, self.path, self.merge, self.finish, self.fan = spark, path, merge, finish or merge, fan
+
+    def _folder(self, tier: int, run: int) -> str:
+        return f"{self.path}/tier={tier}/run={run}"
+
+    def write(self, epoch: int, rows: DataFrame) -> None:
+        self.merge(rows).write.mode("overwrite").parquet(self._folder(0, epoch))
+        tier, run = 0, epoch
+        while run % self.fan == self.fan - 1:
+            below = [self._folder(tier, r) for r in range(run - self.fan + 1, run + 1)]
+            tier, run = tier + 1, run // self.fan
+            self.merge(self.spark.read.parquet(*below)).write.mode("overwrite").parquet(self._folder(tier, run))
+
+    def runs(self, epoch: int) -> list[str]:
+        """The fewest runs that hold all epochs up to this one, oldest first."""
+        out, tier, count = [], 0, epoch + 1  # runs of the tier that are complete
+        while count:
+            out += [self._folder(tier, r) for r in range(count - 1, count - count % self.fan - 1, -1)]
+            tier, count = tier + 1, count // self.fan
+        return out[::-1]
+
+    def last_epoch(self) -> int | None:
+        """The last epoch written, from the names of the first tier's folders."""
+        context = self.spark.sparkContext
+        root = context._jvm.org.apache.hadoop.fs.Path(f"{self.path}/tier=0")
+        files = root.getFileSystem(context._jsc.hadoopConfiguration())
+        if not files.exists(root):
+            return None
+        names = [s.getPath().getName() for s in files.listStatus(root)]
+        return max((int(n[4:]) for n in names if n.startswith("run=")), default=None)
+
+    def latest(self, epoch: int | None = None) -> DataFrame:
+        """The finished rows up to an epoch, by default the last one written."""
+        epoch = self.last_epoch() if epoch is None else epoch
+        if epoch is None:
+            raise ValueError(f"nothing has been written to {self.path}")
+        return self.finish(self.spark.read.parquet(*self.runs(epoch)))
+
+
 def write_epoch(df: DataFrame, path: str, epoch: int) -> None:
     """Append-only output, one folder per epoch, safe to repeat."""
     df.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")

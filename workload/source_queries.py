@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from spanweave.functions.text import collapse_space
 from spanweave.functions.timefmt import ms_to_ts
 from spanweave.operators import media as md
+from spanweave.session import scratch_path
 from spanweave.sources import readers as rd
 from spanweave.sources import sinks as sk
 from workload import views as v
@@ -16,6 +17,21 @@ from workload.scalar_queries import stamp
 
 SQL = v.SQL
 
+
+@query("fingerprint_files", "", """
+WITH files AS (SELECT source, encode(string_agg(coalesce(text, '') || chr(10), '' ORDER BY doc_id)) AS content FROM documents GROUP BY source),
+sized AS (SELECT source, hex(content) AS raw, octet_length(content) AS n FROM files)
+SELECT source, 'quickhash:' || sha256(encode(n::VARCHAR) || unhex(raw[1:8192] || raw[2 * greatest(n // 2 - 2048, 0) + 1 : 2 * greatest(n // 2 - 2048, 0) + 8192] ||
+  raw[2 * greatest(n - 4096, 0) + 1 : 2 * greatest(n - 4096, 0) + 8192])) AS fingerprint FROM sized""")
+def fingerprint_files(spark, sf):
+    """The documents of each source written to a file, which is fingerprinted where it lies."""
+    folder = scratch_path(spark, "films")
+    docs = v.table(spark, sf, "documents").select("source", "doc_id", F.coalesce("text", F.lit("")).alias("value"))
+    docs.repartition("source").sortWithinPartitions("source", "doc_id").drop("doc_id").write.partitionBy("source").text(folder)
+    files = rd.list_files(spark, [folder])
+    source = F.regexp_extract("path", "/source=([^/]*)/", 1)
+    return rd.fingerprint_files(files, 4096).select(F.when(source != "__HIVE_DEFAULT_PARTITION__", source).alias("source"), "fingerprint")
+
 # -- documents --------------------------------------------------------------------------------------
 
 
