@@ -87,6 +87,50 @@ def resembling(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFram
     return importable(both).mapInArrow(run, "a bigint, b bigint")
 
 
+def crossing(texts: DataFrame, sets: DataFrame, named: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (``a``, ``b``) of texts in different groups that may reach ``similarity``, among texts that share a band with texts of other groups.
+
+    An exact prefix filter: shingles are ordered from the rarest on, and sets of that similarity have one in common among the first of
+    both, so many of the larger set and fewer of the smaller one. A passage that a whole family shares is frequent, so it comes
+    last and brings nobody together; where groups differ in it alone, its place tells that what follows is too little.
+    ``named``: ``node``, ``root`` of the groups so far.
+    """
+    banded = texts.select("fingerprint", "n", F.explode(F.filter("bands", lambda b: b.bitwiseAND(1) == 0)).alias("band"))
+    tagged = banded.join(named.select(F.col("node").alias("fingerprint"), "root"), "fingerprint", "left").withColumn("root", F.coalesce("root", "fingerprint"))
+    mixed = tagged.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("members")).where(
+        "low <> high AND members > 2").select("band")  # two have been held against each other
+    inside = stage(tagged.join(mixed, "band").select("fingerprint", "root", "n").distinct())
+
+    def lists(batches):
+        for batch in portions(batches):
+            found = [np.frombuffer(x, "<i4") for x in column_of(batch, "shingles").to_pylist()]
+            ends = pa.array(np.cumsum([0, *map(len, found)]).astype(np.int32))
+            values = pa.array(np.concatenate([np.zeros(0, np.int32), *found]))
+            yield pa.RecordBatch.from_arrays([*[column_of(batch, c) for c in kept], pa.ListArray.from_arrays(ends, values)], names=[*kept, "tokens"])
+
+    kept = ["fingerprint", "root", "n"]
+    held = importable(inside.join(sets, "fingerprint").select(*kept, "shingles")).mapInArrow(lists, "fingerprint bigint, root bigint, n int, tokens array<int>")
+    tokens = held.select(*kept, F.explode("tokens").alias("token"))
+    # A shingle of one text has only a place; one of a single group brings nobody new.
+    common = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df"), (F.min("root") != F.max("root")).alias("mixed")).where("df > 1")
+    ordered = tokens.join(common, "token").groupBy(*kept).agg(F.array_sort(F.collect_list(F.struct("df", "token", "mixed"))).alias("order"))
+    placed = F.transform("order", lambda t, i: F.struct(t["token"].alias("token"), (F.col("n") - F.size("order") + i).alias("at"), t["mixed"].alias("mixed")))
+
+    def first(share: float):
+        return F.col("n") - F.ceil(F.col("n") * share - 1e-9) + 1
+
+    many = first(similarity)
+    places = stage(ordered.select(*kept, F.explode(F.filter(placed, lambda t: t["mixed"] & (t["at"] < many))).alias("t")).select(
+        *kept, "t.token", "t.at", (F.col("t.at") < first(2 * similarity / (1 + similarity))).alias("few")))
+    x, y = places.alias("x"), places.where("few").alias("y")
+    smaller = (F.col("y.n") < F.col("x.n")) | ((F.col("y.n") == F.col("x.n")) & (F.col("y.fingerprint") < F.col("x.fingerprint")))
+    left = F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at"))
+    may = left + 1e-9 >= similarity / (1 + similarity) * (F.col("x.n") + F.col("y.n"))
+    near = x.join(y, F.col("x.token") == F.col("y.token")).where(
+        (F.col("x.root") != F.col("y.root")) & smaller & may & (F.col("y.n") + 1e-9 >= similarity * F.col("x.n")))
+    return stage(near.select(F.col("x.fingerprint").alias("a"), F.col("y.fingerprint").alias("b")).distinct())
+
+
 def resembling_groups(scripts: DataFrame, key: tuple[str, str], shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """Groups of media whose texts are near duplicates: fingerprints within two bits, or sets of shingles of at least
     ``similarity``, directly or over other texts.
@@ -98,7 +142,8 @@ def resembling_groups(scripts: DataFrame, key: tuple[str, str], shingle: int = 5
 
     One text stands for each fingerprint. In each band its texts are held against one of them, so
     candidates grow with the texts and not with the pairs of a group: first each text against the one it shares most
-    bands with, then the candidates that are still in different groups. Sets of candidates alone are shuffled.
+    bands with, then the candidates that are still in different groups. Where a band then holds texts of several groups,
+    those are joined exactly, see ``crossing``, so no pair that shares a band is lost. Sets of candidates alone are shuffled.
     """
     rows = stage(sketches(scripts, shingle, "media_id", *key))
     texts = stage(rows.groupBy("fingerprint").agg(F.min(F.struct(*key, "n", "bands")).alias("r")).select("fingerprint", "r.*"))
@@ -115,8 +160,8 @@ def resembling_groups(scripts: DataFrame, key: tuple[str, str], shingle: int = 5
     # Sets whose sizes are further apart cannot have so much in common.
     pairs = stage(sized.where(F.least("na", "nb") + 1e-9 >= similarity * F.greatest("na", "nb")).select("a", "b", "shared"))
 
-    ends = pairs.select(F.col("a").alias("fingerprint")).union(pairs.select("b")).distinct()
-    chosen = texts.join(ends, "fingerprint").select(*key, "fingerprint")
+    company = banded.join(hubs, "band").select(F.col("a").alias("fingerprint")).distinct()
+    chosen = texts.join(company, "fingerprint").select(*key, "fingerprint")
 
     def shingles(batches):
         for batch in batches:
@@ -135,5 +180,7 @@ def resembling_groups(scripts: DataFrame, key: tuple[str, str], shingle: int = 5
         rest = rest.join(roots.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}")), end, "left")
     apart = stage(rest.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b"))
     more = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(resembling(apart, sets, similarity))
-    named = stage(connected_components(more)).select(F.col("node").alias("fingerprint"), "root")
+    named = stage(connected_components(more))
+    last = named.select(F.col("node").alias("a"), F.col("root").alias("b")).union(resembling(crossing(texts, sets, named, similarity), sets, similarity))
+    named = stage(connected_components(last)).select(F.col("node").alias("fingerprint"), "root")
     return rows.join(named, "fingerprint", "left").select("media_id", *key, "fingerprint", F.coalesce("root", "fingerprint").alias("root"))

@@ -81,3 +81,28 @@ def test_the_bound_of_similarity(spark, edits, linked):
     for e in range(edits):
         other[10 + 12 * e] = "new"
     assert len(found_by(spark, [(1, " ".join(words)), (2, " ".join(other))])) == (1 if linked else 2)
+
+
+@pytest.mark.parametrize("members", [600])
+def test_family_below_the_threshold_keeps_its_pairs(spark, members):
+    """Texts that share most of a template: any two at 0.78, and each with one partner just above 0.8. All pairs come together."""
+    rng = random.Random(8)
+    fresh = iter(range(10 ** 9))
+
+    def own(n):
+        return [f"w{next(fresh)}" for _ in range(n)]
+
+    template = [f"t{i}" for i in range(354)]
+    rows = []
+    for pair in range(members // 2):
+        both = own(12)
+        for _ in range(2):
+            rows.append((len(rows), " ".join(template + both + own(38))))
+    rng.shuffle(rows)
+    sets = {m: set(shingle_set(shingle_digests(t, 5)).tolist()) for m, t in rows}
+    for a, b in [(0, 1), (0, 2), (4, 5), (5, 9)]:
+        alike = len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+        assert (alike >= 0.8) == (a // 2 == b // 2) and alike > 0.77
+    found = found_by(spark, rows)
+    assert found == groups_of(rows)  # fingerprints within two bits join some of the pairs
+    assert sum(len(g) == 2 and g[0] // 2 == g[1] // 2 for g in found) > members // 3
