@@ -49,27 +49,29 @@ def bands_of(shingles: np.ndarray) -> list[int]:
 
 
 def sketches(scripts: DataFrame, shingle: int, *carried: str) -> DataFrame:
-    """``carried``, ``fingerprint``, ``n`` (distinct shingles) and ``bands`` of each row of ``scripts``."""
+    """``carried``, ``fingerprint``, ``own`` (a digest of the set of shingles), ``n`` (their number) and ``bands`` of each row of ``scripts``."""
 
     def run(batches):
         for batch in batches:
-            prints, sizes, bands = [], [], []
+            prints, own, sizes, bands = [], [], [], []
             for text in texts_of(batch):
                 digests = shingle_digests(text, shingle)
                 shingles = shingle_set(digests)
                 prints.append(fingerprint_of(digests))
+                own.append(xxhash.xxh64_intdigest(shingles.tobytes(), SEED))
                 sizes.append(len(shingles))
                 bands.append(bands_of(shingles))
             yield pa.RecordBatch.from_arrays(
                 [*[column_of(batch, c) for c in carried], pa.array(np.array(prints, np.uint64).view(np.int64)),
-                 pa.array(sizes, pa.int32()), pa.array(bands, pa.list_(pa.int64()))], names=[*carried, "fingerprint", "n", "bands"])
+                 pa.array(np.array(own, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(bands, pa.list_(pa.int64()))],
+                names=[*carried, "fingerprint", "own", "n", "bands"])
 
-    return map_batches(scripts_of(scripts, *[c for c in carried if c != "media_id"]), run, StructField("fingerprint", LongType()),
+    return map_batches(scripts_of(scripts, *[c for c in carried if c != "media_id"]), run, StructField("fingerprint", LongType()), StructField("own", LongType()),
                        StructField("n", IntegerType()), StructField("bands", ArrayType(LongType())), keep=carried)
 
 
 def resembling(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The ``pairs`` (``a``, ``b``) whose ``sets`` (``fingerprint``, ``shingles``) have that share of their union in common."""
+    """The ``pairs`` (``a``, ``b``) whose ``sets`` (``own``, ``shingles``) have that share of their union in common."""
 
     def run(batches):
         for batch in portions(batches):
@@ -82,8 +84,8 @@ def resembling(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFram
             picked = batch.filter(pa.array(near, pa.bool_()))
             yield pa.RecordBatch.from_arrays([column_of(picked, "a"), column_of(picked, "b")], names=["a", "b"])
 
-    both = pairs.select("a", "b").join(sets.select(F.col("fingerprint").alias("a"), F.col("shingles").alias("left")), "a").join(
-        sets.select(F.col("fingerprint").alias("b"), F.col("shingles").alias("right")), "b")
+    both = pairs.select("a", "b").join(sets.select(F.col("own").alias("a"), F.col("shingles").alias("left")), "a").join(
+        sets.select(F.col("own").alias("b"), F.col("shingles").alias("right")), "b")
     return importable(both).mapInArrow(run, "a bigint, b bigint")
 
 
@@ -95,11 +97,11 @@ def crossing(texts: DataFrame, sets: DataFrame, named: DataFrame, similarity: fl
     last and brings nobody together; where groups differ in it alone, its place tells that what follows is too little.
     ``named``: ``node``, ``root`` of the groups so far.
     """
-    banded = texts.select("fingerprint", "n", F.explode(F.filter("bands", lambda b: b.bitwiseAND(1) == 0)).alias("band"))
-    tagged = banded.join(named.select(F.col("node").alias("fingerprint"), "root"), "fingerprint", "left").withColumn("root", F.coalesce("root", "fingerprint"))
+    banded = texts.select("own", "n", F.explode(F.filter("bands", lambda b: b.bitwiseAND(1) == 0)).alias("band"))
+    tagged = banded.join(named.select(F.col("node").alias("own"), "root"), "own", "left").withColumn("root", F.coalesce("root", "own"))
     mixed = tagged.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("members")).where(
         "low <> high AND members > 2").select("band")  # two have been held against each other
-    inside = stage(tagged.join(mixed, "band").select("fingerprint", "root", "n").distinct())
+    inside = stage(tagged.join(mixed, "band").select("own", "root", "n").distinct())
 
     def lists(batches):
         for batch in portions(batches):
@@ -108,8 +110,8 @@ def crossing(texts: DataFrame, sets: DataFrame, named: DataFrame, similarity: fl
             values = pa.array(np.concatenate([np.zeros(0, np.int32), *found]))
             yield pa.RecordBatch.from_arrays([*[column_of(batch, c) for c in kept], pa.ListArray.from_arrays(ends, values)], names=[*kept, "tokens"])
 
-    kept = ["fingerprint", "root", "n"]
-    held = importable(inside.join(sets, "fingerprint").select(*kept, "shingles")).mapInArrow(lists, "fingerprint bigint, root bigint, n int, tokens array<int>")
+    kept = ["own", "root", "n"]
+    held = importable(inside.join(sets, "own").select(*kept, "shingles")).mapInArrow(lists, "own bigint, root bigint, n int, tokens array<int>")
     tokens = held.select(*kept, F.explode("tokens").alias("token"))
     # A shingle of one text has only a place; one of a single group brings nobody new.
     common = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df"), (F.min("root") != F.max("root")).alias("mixed")).where("df > 1")
@@ -123,12 +125,12 @@ def crossing(texts: DataFrame, sets: DataFrame, named: DataFrame, similarity: fl
     places = stage(ordered.select(*kept, F.explode(F.filter(placed, lambda t: t["mixed"] & (t["at"] < many))).alias("t")).select(
         *kept, "t.token", "t.at", (F.col("t.at") < first(2 * similarity / (1 + similarity))).alias("few")))
     x, y = places.alias("x"), places.where("few").alias("y")
-    smaller = (F.col("y.n") < F.col("x.n")) | ((F.col("y.n") == F.col("x.n")) & (F.col("y.fingerprint") < F.col("x.fingerprint")))
+    smaller = (F.col("y.n") < F.col("x.n")) | ((F.col("y.n") == F.col("x.n")) & (F.col("y.own") < F.col("x.own")))
     left = F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at"))
     may = left + 1e-9 >= similarity / (1 + similarity) * (F.col("x.n") + F.col("y.n"))
     near = x.join(y, F.col("x.token") == F.col("y.token")).where(
         (F.col("x.root") != F.col("y.root")) & smaller & may & (F.col("y.n") + 1e-9 >= similarity * F.col("x.n")))
-    return stage(near.select(F.col("x.fingerprint").alias("a"), F.col("y.fingerprint").alias("b")).distinct())
+    return stage(near.select(F.col("x.own").alias("a"), F.col("y.own").alias("b")).distinct())
 
 
 def resembling_groups(scripts: DataFrame, key: tuple[str, str], shingle: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -140,40 +142,48 @@ def resembling_groups(scripts: DataFrame, key: tuple[str, str], shingle: int = 5
     Texts without a word, null ones too, are one group with each other. Repeated rows keep their number. An empty
     table has no groups.
 
-    One text stands for each fingerprint. In each band its texts are held against one of them, so
+    One text stands for each set of shingles. In each band its texts are held against one of them, so
     candidates grow with the texts and not with the pairs of a group: first each text against the one it shares most
     bands with, then the candidates that are still in different groups. Where a band then holds texts of several groups,
     those are joined exactly, see ``crossing``, so no pair that shares a band is lost. Sets of candidates alone are shuffled.
     """
     rows = stage(sketches(scripts, shingle, "media_id", *key))
-    texts = stage(rows.groupBy("fingerprint").agg(F.min(F.struct(*key, "n", "bands")).alias("r")).select("fingerprint", "r.*"))
-    banded = texts.select(F.col("fingerprint").alias("a"), F.explode("bands").alias("band"))
-    # Even bands agree on the smallest fingerprint. Odd ones each have an order of their own, so that a text which
+    texts = stage(rows.groupBy("own").agg(F.min(F.struct(*key, "fingerprint", "n", "bands")).alias("r")).select("own", "r.*"))
+    # Of the sets with one fingerprint the least stands for it; a set whose shingles repeat differently has several.
+    printed = rows.select("own", "fingerprint").distinct()
+    prints = stage(printed.groupBy("fingerprint").agg(F.min("own").alias("least")))
+    close = links(prints)
+    for end in ("a", "b"):
+        close = close.join(prints.select(F.col("fingerprint").alias(end), F.col("least").alias(f"own_{end}")), end)
+    close = close.select(F.col("own_a").alias("a"), F.col("own_b").alias("b")).union(
+        printed.join(prints, "fingerprint").where("own <> least").select(F.col("own").alias("a"), F.col("least").alias("b")))
+    banded = texts.select(F.col("own").alias("a"), F.explode("bands").alias("band"))
+    # Even bands agree on the smallest set's name. Odd ones each have an order of their own, so that a text which
     # resembles another one only, and not the smallest, meets that one as well.
     order = F.when(F.col("band").bitwiseAND(1) == 1, F.col("band")).otherwise(0)
     hubs = stage(banded.groupBy("band").agg(F.min(F.col("a").bitwiseXOR(order)).alias("b"), F.count(F.lit(1)).alias("members"))
                  .where("members > 1").select("band", F.col("b").bitwiseXOR(order).alias("b")))
     met = banded.join(hubs, "band").where("a <> b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
-    sizes = texts.select("fingerprint", "n")
-    sized = met.join(sizes.select(F.col("fingerprint").alias("a"), F.col("n").alias("na")), "a").join(
-        sizes.select(F.col("fingerprint").alias("b"), F.col("n").alias("nb")), "b")
+    sizes = texts.select("own", "n")
+    sized = met.join(sizes.select(F.col("own").alias("a"), F.col("n").alias("na")), "a").join(
+        sizes.select(F.col("own").alias("b"), F.col("n").alias("nb")), "b")
     # Sets whose sizes are further apart cannot have so much in common.
     pairs = stage(sized.where(F.least("na", "nb") + 1e-9 >= similarity * F.greatest("na", "nb")).select("a", "b", "shared"))
 
-    company = banded.join(hubs, "band").select(F.col("a").alias("fingerprint")).distinct()
-    chosen = texts.join(company, "fingerprint").select(*key, "fingerprint")
+    company = banded.join(hubs, "band").select(F.col("a").alias("own")).distinct()
+    chosen = texts.join(company, "own").select(*key, "own")
 
     def shingles(batches):
         for batch in batches:
             sets = [shingle_set(shingle_digests(t, shingle)).tobytes() for t in texts_of(batch)]
-            yield pa.RecordBatch.from_arrays([column_of(batch, "fingerprint"), pa.array(sets, pa.binary())], names=["fingerprint", "shingles"])
+            yield pa.RecordBatch.from_arrays([column_of(batch, "own"), pa.array(sets, pa.binary())], names=["own", "shingles"])
 
     # Candidates grow with the table: the same join at every size, and no broadcast of a small one.
-    written = scripts.select(*key, "text").join(stage(chosen).hint("merge"), list(key)).select("fingerprint", F.col("text").cast("string").alias("text"))
-    sets = stage(map_batches(written, shingles, StructField("shingles", BinaryType()), keep=("fingerprint",)).dropDuplicates(["fingerprint"]))
+    written = scripts.select(*key, "text").join(stage(chosen).hint("merge"), list(key)).select("own", F.col("text").cast("string").alias("text"))
+    sets = stage(map_batches(written, shingles, StructField("shingles", BinaryType()), keep=("own",)).dropDuplicates(["own"]))
 
     best = stage(pairs.groupBy("a").agg(F.max(F.struct("shared", "b"))["b"].alias("b")))
-    first = links(texts).union(resembling(best, sets, similarity))
+    first = close.union(resembling(best, sets, similarity))
     roots = stage(connected_components(first))
     rest = pairs.select("a", "b").join(best, ["a", "b"], "left_anti")
     for end in ("a", "b"):
@@ -182,5 +192,5 @@ def resembling_groups(scripts: DataFrame, key: tuple[str, str], shingle: int = 5
     more = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(resembling(apart, sets, similarity))
     named = stage(connected_components(more))
     last = named.select(F.col("node").alias("a"), F.col("root").alias("b")).union(resembling(crossing(texts, sets, named, similarity), sets, similarity))
-    named = stage(connected_components(last)).select(F.col("node").alias("fingerprint"), "root")
-    return rows.join(named, "fingerprint", "left").select("media_id", *key, "fingerprint", F.coalesce("root", "fingerprint").alias("root"))
+    named = stage(connected_components(last)).select(F.col("node").alias("own"), "root")
+    return rows.join(named, "own", "left").select("media_id", *key, "fingerprint", F.coalesce("root", "own").alias("root"))
