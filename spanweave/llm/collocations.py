@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -241,18 +242,23 @@ def _texts_by_lang(batch: pa.RecordBatch) -> dict[str, list[bytes]]:
     return by_lang
 
 
-def count_phrases(scripts: DataFrame, lengths: tuple[int, ...], sketches: dict[int, object], held: int = HELD, burst: int = BURST) -> DataFrame:
-    """``lang``, ``phrase``, ``n``: occurrences of phrases of ``lengths`` words, overlaps included. ``sketches``: broadcasts of
-    what is frequent, by length."""
+def count_phrases(scripts: DataFrame, lengths: tuple[int, ...], sketches: dict[int, object], least: int, held: int = HELD, burst: int = BURST) -> DataFrame:
+    """``lang``, ``phrase``, ``n`` of phrases of ``lengths`` words found ``least`` times or more, overlaps included. ``sketches``:
+    broadcasts of what is frequent, by length.
+
+    A spilled run is cut by the first two words of its phrases and sent as one value per cut; the runs of a cut are merged.
+    """
+    cuts = 4 * int(scripts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches):
         counter = PhraseCounter(lengths, {k: s.value for k, s in sketches.items()}, held, burst)
 
         def sent(rows):
-            for i in range(0, len(rows), _ROWS):
-                lang, phrase, n = zip(*rows[i:i + _ROWS])
-                yield pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array([p.decode("utf-8", "surrogatepass") for p in phrase], pa.string()),
-                                                  pa.array(n, pa.int64())], names=["lang", "phrase", "n"])
+            by_part: dict[int, list] = {}
+            for row in rows:
+                prefix = row[1].split(b" ", 2)[:2]
+                by_part.setdefault(xxhash.xxh64_intdigest(b" ".join([row[0].encode("utf-8", "surrogatepass"), *prefix])) % cuts, []).append(row)
+            yield pa.RecordBatch.from_arrays([pa.array(list(by_part), pa.int32()), pa.array([_packed(r) for r in by_part.values()], pa.binary())], names=["part", "run"])
 
         for batch in portions(batches):
             for lang, texts in _texts_by_lang(batch).items():
@@ -260,10 +266,36 @@ def count_phrases(scripts: DataFrame, lengths: tuple[int, ...], sketches: dict[i
                     yield from sent(spilled)
         yield from sent(counter.run())
 
-    prefix = F.substring_index("phrase", " ", 2)
-    runs = importable(scripts).mapInArrow(run, "lang string, phrase string, n bigint").withColumn("prefix", prefix)
-    # One exchange: the partitioning by prefix also serves the sum per phrase.
-    return runs.repartition("lang", "prefix").groupBy("lang", "prefix", "phrase").agg(F.sum("n").alias("n")).select("lang", "phrase", "n")
+    def merge(batches):
+        now, runs = None, []
+
+        def merged():
+            table = pa.concat_tables(runs).group_by(["lang", "phrase"]).aggregate([("n", "sum")]).rename_columns(["lang", "phrase", "n"])
+            yield from table.filter(pa.compute.greater_equal(table["n"], least)).to_batches(_ROWS)
+
+        for batch in batches:
+            for part, packed in zip(column_of(batch, "part").to_pylist(), column_of(batch, "run")):
+                if part != now and runs:
+                    yield from merged()
+                    runs = []
+                now = part
+                runs.append(pa.ipc.open_stream(packed.as_buffer()).read_all())
+        if runs:
+            yield from merged()
+
+    packed = importable(scripts).mapInArrow(run, "part int, run binary").repartition("part").sortWithinPartitions("part")
+    return packed.mapInArrow(merge, "lang string, phrase string, n bigint")
+
+
+def _packed(run: list[tuple[str, bytes, int]]) -> bytes:
+    """A sorted run as a compressed Arrow stream; neighbours in it have much in common."""
+    lang, phrase, n = zip(*run)
+    batch = pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array([p.decode("utf-8", "surrogatepass") for p in phrase], pa.string()), pa.array(n, pa.int64())],
+                                       names=["lang", "phrase", "n"])
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd"))) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
 
 
 def frequent_digests(scripts: DataFrame, length: int, sketches: dict[int, object], least: int) -> tuple[np.ndarray, DataFrame]:
@@ -376,8 +408,7 @@ def mine_collocations(scripts: DataFrame, min_count: int = 100, top: int = 2000,
         sketch, words = frequent_digests(texts, length, dict(sketches), min_count)
         sketches[length] = context.broadcast(sketch)
         totals = words if totals is None else totals
-    counts = count_phrases(texts, COUNTED, sketches, held, burst)
-    frequent = stage(counts.where(F.col("n") >= min_count))
+    frequent = stage(count_phrases(texts, COUNTED, sketches, min_count, held, burst))
     return _ranked(_scored(frequent, totals.withColumnRenamed("n", "total")), top)
 
 
