@@ -16,29 +16,21 @@ from pyspark.sql import functions as F
 STEP = 2
 
 
-def aligned(start: Column, end: Column) -> Column:
-    """The aligned ranges that make up ``[start, end)``, as an array of (level, node); empty where there is nothing inside."""
-    start, end = start.cast("bigint"), end.cast("bigint")
-
-    def numbers(first: Column, behind: Column) -> Column:
-        return F.when(first < behind, F.sequence(first, F.greatest(first, behind - 1))).otherwise(F.array().cast("array<bigint>"))
-
-    def at_level(level: Column) -> Column:
-        # Numbers at this level are [low, high), of which the level above takes what fills ranges of its own.
-        low, high = -F.call_function("shiftright", -start, level), F.call_function("shiftright", end, level)
-        above = F.call_function("shiftright", -low, F.lit(STEP)) * -(1 << STEP), F.call_function("shiftright", high, F.lit(STEP)) * (1 << STEP)
-        own = F.when(above[0] < above[1], F.concat(numbers(low, above[0]), numbers(above[1], high))).otherwise(numbers(low, high))
-        return F.transform(own, lambda n: F.struct(level.alias("level"), n.alias("node")))
-
+def with_ranges(df: DataFrame, start: Column, end: Column) -> DataFrame:
+    """A row per aligned range that makes up ``[start, end)``, with ``__level`` and ``__node``; none where there is nothing inside."""
+    shift, level, none = lambda x, k: F.call_function("shiftright", x, k), F.col("__level"), F.array().cast("array<bigint>")
     # No aligned range inside is longer than the whole.
-    top = F.floor(F.log2(F.greatest(end - start, F.lit(1)).cast("double"))).cast("int")
-    return F.flatten(F.transform(F.sequence(F.lit(0), top, F.lit(STEP)), at_level))
+    top = F.floor(F.log2(F.greatest(F.col("__to") - F.col("__from"), F.lit(1)).cast("double"))).cast("int")
+    rows = df.withColumns({"__from": start.cast("bigint"), "__to": end.cast("bigint")}).where("__from < __to").withColumn("__level", F.explode(F.sequence(F.lit(0), top, F.lit(STEP))))
+    # Numbers at this level are [low, high), of which the level above takes what fills ranges of its own.
+    rows = rows.withColumns({"__low": -shift(-F.col("__from"), level), "__high": shift(F.col("__to"), level)}).where("__low < __high")
+    rows = rows.withColumns({"__left": shift(-F.col("__low"), F.lit(STEP)) * -(1 << STEP), "__right": shift(F.col("__high"), F.lit(STEP)) * (1 << STEP)})
 
+    def numbers(first: str, behind: str) -> Column:
+        return F.when(F.col(first) < F.col(behind), F.sequence(F.col(first), F.greatest(F.col(first), F.col(behind) - 1))).otherwise(none)
 
-def with_ranges(df: DataFrame, start: Column, end: Column) -> DataFrame:
-    """A row per aligned range of ``[start, end)``, with ``__level`` and ``__node``."""
-    return df.withColumn("__range", F.explode(aligned(start, end))).withColumns(
-        {"__level": F.col("__range.level"), "__node": F.col("__range.node")}).drop("__range")
+    own = F.when(F.col("__left") < F.col("__right"), F.concat(numbers("__low", "__left"), numbers("__right", "__high"))).otherwise(numbers("__low", "__high"))
+    return rows.withColumn("__node", F.explode(own)).drop("__from", "__to", "__low", "__high", "__left", "__right")
 
 
 def at_levels(points: DataFrame, at: Column, ranged: DataFrame) -> DataFrame:
@@ -54,7 +46,8 @@ def best_holder(ranges: DataFrame, points: DataFrame, keys: Sequence[str], start
     Each aligned range keeps its best, so the work does not depend on how many ranges overlap. Points that nothing holds are left out.
     """
     keys = list(keys)
-    kept = with_ranges(ranges.withColumn("__best", best).select(*keys, start.alias("__from"), end.alias("__to"), "__best"), F.col("__from"), F.col("__to"))
+    sides = ranges.select(*keys, start.alias("__start"), end.alias("__end"), best.alias("__best"))
+    kept = with_ranges(sides, F.col("__start"), F.col("__end"))
     kept = kept.groupBy(*keys, "__level", "__node").agg(F.min("__best").alias("__best"))
     asked = at_levels(points.select(*keys, at).distinct(), F.col(at), kept)
     return asked.join(kept, [*keys, "__level", "__node"]).groupBy(*keys, at).agg(F.min("__best").alias("best"))

@@ -12,7 +12,7 @@ from spanweave.functions.text import quick_fingerprint
 from spanweave.operators import dialogue
 from spanweave.operators import intervals as iv
 from spanweave.operators import reconcile as rc
-from spanweave.operators.ranges import aligned, best_holder
+from spanweave.operators.ranges import best_holder, with_ranges
 from spanweave.schema import FINDING
 from spanweave.sources.readers import fingerprint_files, list_files
 from spanweave.streaming.state import TieredRuns
@@ -23,13 +23,16 @@ SPAN = "media_id long, id long, start_ms long, end_ms long, approved boolean, ac
 def test_aligned_ranges_tile_their_range(spark):
     rng = random.Random(1)
     asked = [(a, a + rng.choice([-3, 0, 1, 2, rng.randrange(5000)])) for a in (rng.randrange(-4000, 4000) for _ in range(300))] + [(0, 1 << 50), (5, 1 << 45)]
-    for a, b, found in rows(spark.createDataFrame(asked, "a long, b long").select("a", "b", aligned(F.col("a"), F.col("b")).alias("r"))):
-        pieces = sorted((r.node << r.level, (r.node + 1) << r.level) for r in found)
-        assert all(r.level % 2 == 0 for r in found) and len(found) <= 6 * 32
+    found = {}
+    for a, b, level, node in rows(with_ranges(spark.createDataFrame(asked, "a long, b long").distinct(), F.col("a"), F.col("b")), "a", "b", "__level", "__node"):
+        assert level % 2 == 0
+        found.setdefault((a, b), []).append((node << level, (node + 1) << level))
+    for a, b in asked:
+        pieces = sorted(found.get((a, b), []))
         if b <= a:
             assert not pieces
         else:
-            assert pieces[0][0] == a and pieces[-1][1] == b and all(x[1] == y[0] for x, y in zip(pieces, pieces[1:]))
+            assert len(pieces) <= 6 * 32 and pieces[0][0] == a and pieces[-1][1] == b and all(x[1] == y[0] for x, y in zip(pieces, pieces[1:]))
 
 
 @pytest.fixture(scope="module")
