@@ -20,10 +20,11 @@ TEXT_WEIGHT = 60.0
 #: Pseudo-counts by which a host leans on its domain and a domain on all hosts, and of each evidence table.
 HOST_LEAN, DOMAIN_LEAN, SMOOTHING = 8.0, 16.0, 2.0
 
-_BLOCKS = re.compile(r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>|&\w+;")
+#: What is no text; an unclosed script, style or comment reaches to the end, so each character is read once.
+_BLOCKS = re.compile(r"(?is)<(script|style)\b(?:.*?</\1\s*>|.*)|<!--(?:.*?-->|.*)|<[^<>]*>|&\w+;")
 #: The first <html> tag, or what it can't be in; an unclosed comment reaches to the end.
 _ROOT = re.compile(r"(?is)<!--(?:.*?-->|.*)|<html\b([^>]*)")
-_DECLARED = re.compile(r"""(?i)\blang\s*=\s*["']?([a-z]{2,3})\b""")
+_DECLARED = re.compile(r"""(?i)(?<![\w-])lang\s*=\s*["']?([a-z]{2,3})\b""")
 _HOST = re.compile(r"(?i)^[a-z][a-z0-9+.-]*://([^/?#:]*)")
 _CODE = re.compile(r"(?:^|[/._-])([a-z]{2,3})(?=[/._?#-]|$)")
 

@@ -1,5 +1,7 @@
 """Texts that once ended a job or flooded the driver: long blank runs, ids with many rows, long and odd token lists."""
 
+import time
+
 import numpy as np
 import pytest
 
@@ -7,7 +9,7 @@ pytest.importorskip("public_tokenizers")
 import public_tokenizers
 from tokenizers import Tokenizer
 
-from spanweave.llm import bpe, packing, quality_net
+from spanweave.llm import bpe, language, packing, quality_net
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -42,3 +44,15 @@ def test_training_sample_has_a_text_per_id(spark):
     assert rows[3] == (["y" * quality_net.TRAIN_CHARS] * quality_net.TRAIN_SLICES, 0) and len(rows[2][0]) == 1
     again = {r.media_id: (r.text_slices, r.label) for r in quality_net.training_sample(texts.repartition(7), labels).collect()}
     assert again == rows and isinstance(quality_net.fit_quality(texts, labels).table, np.ndarray)
+
+
+def test_markup_that_never_closes_is_read_once():
+    started = time.time()
+    for odd in ("<script>", "<!--", "<", "<style x", "<a href='", "</script", "&a"):
+        language.plain_text(odd * 300_000)
+        language.declared_language(odd * 300_000)
+    assert time.time() - started < 30
+    assert language.plain_text("a<script>x<b></script>b<!-- <p> -->c<p q='1'>d&amp;e").split() == ["a", "b", "c", "d", "e"]
+    assert language.plain_text("a<script>never closed <p>b</p>").split() == ["a"]
+    for tag, code in (('data-lang="fr" lang="de"', "de"), ("xml:lang='es'", "es"), ("LANG=fr-CA", "fr"), ("hreflang=fr", ""), ("", "")):
+        assert language.declared_language(f"<!-- <html lang=xx> --><html {tag}>") == code
