@@ -11,7 +11,7 @@ from spanweave.functions.review import ACTIVE_RANK, DETECTORS, FINISHED, TERMINA
 from spanweave.functions.schedule import Schedule, schedule_allowed
 from spanweave.functions.policy import lookup
 from spanweave.functions.text import base_name_key
-from spanweave.operators.scan import global_rank
+from spanweave.operators.scan import global_rank, row_rank, time_blocks
 
 
 def upsert_latest(rows: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -149,12 +149,32 @@ def active_jobs(jobs: DataFrame) -> DataFrame:
         "name", "rank", "created_at", *[c for c in _BRIEF if c in jobs.columns])
 
 
+#: Span of one block of job ages, in microseconds.
+_AGES = 3_600_000_000
+
+
+def active_for_paths(requests: DataFrame, resolved: DataFrame, jobs: DataFrame) -> DataFrame:
+    """The jobs in flight of each requested path, one row each: ``pos``, ``path``, ``place`` from 1 and what a page shows of a job.
+
+    Running comes before rendering and that before queued, each newest first. A path without such jobs has no row.
+    """
+    flying = active_jobs(jobs).withColumn("age", -F.unix_micros("created_at"))
+    placed = row_rank(flying, ["name", "rank"], ["age", "id"], time_blocks("age", _AGES), "__n")
+    # Three ranks, so what stands before one is two counts.
+    before = flying.groupBy("name").agg(F.count_if(F.col("rank") == 0).alias("__0"), F.count_if(F.col("rank") == 1).alias("__1"))
+    place = F.col("__n") + F.when(F.col("rank") > 0, F.col("__0")).otherwise(0) + F.when(F.col("rank") > 1, F.col("__1")).otherwise(0)
+    named = requests.join(resolved, "path").withColumn("name", base_name_key(F.col("resolved_path")))
+    return named.select("pos", "path", "name").join(placed.join(before, "name"), "name").select(
+        "pos", "path", place.alias("place"), *[c for c in _BRIEF if c in jobs.columns])
+
+
 def status_for_paths(requests: DataFrame, resolved: DataFrame, jobs: DataFrame, counts: DataFrame,
                      sidecars: DataFrame) -> DataFrame:
     """One row per requested path, unresolved ones included, with ``pos`` to order by.
 
     ``resolved``: (path, resolved_path); ``counts``: review counts by ``name``; ``sidecars``: ``name`` of
-    films with a timeline on disk.
+    films with a timeline on disk. The columns ``job_...`` show the headline job, null where ``jobs`` lacks a
+    field; its jobs in flight are rows of ``active_for_paths``.
     """
     named = requests.join(resolved, "path", "left").withColumn("name", base_name_key(F.col("resolved_path")))
     known = sidecars.select("name").distinct().withColumn("has_sidecar", F.lit(True))
@@ -168,6 +188,7 @@ def status_for_paths(requests: DataFrame, resolved: DataFrame, jobs: DataFrame,
 
     return joined.select(
         "pos", "path", "resolved_path", analyzed.alias("analyzed"), count("total"), count("approved"),
-        count("rejected"), count("pending"), job["id"].alias("job_id"), job["status"].alias("job_status"),
+        count("rejected"), count("pending"),
+        *[(job[c] if c in jobs.columns else F.lit(None).cast("string")).alias(f"job_{c}") for c in _BRIEF],
         F.coalesce("n_active", F.lit(0)).cast("bigint").alias("active"),
         F.coalesce(F.array_join("engines_done", ","), F.lit("")).alias("engines_done"))

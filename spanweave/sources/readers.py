@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import fnmatch
 import hashlib
+import os
+from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.fs
@@ -12,6 +15,7 @@ from pyspark.sql import functions as F
 from spanweave.functions.text import SPACE, clean_cue_text, repair_mojibake
 from spanweave.functions.timefmt import ts_to_ms
 from spanweave.schema import PLAN_JSON, SHOTS_JSON, TIMELINE_JSON, TRANSCRIPT_JSON
+from spanweave.session import scratch_path
 
 MEDIA = "media_id"
 #: Whatever ends a line in text.
@@ -87,6 +91,16 @@ def parse_shots(documents: DataFrame, key: str = MEDIA) -> DataFrame:
 FINGERPRINT_CHUNK = 8 * 1024 * 1024
 
 
+def _opened(path: str) -> tuple[pa.fs.FileSystem, str]:
+    """The store of a path and the path in it. Names are taken as they are, so only the store itself is read as a URI."""
+    scheme, _, rest = path.partition(":")
+    if path.startswith("/") or scheme == "file":  # as Spark writes it, with one slash
+        return pa.fs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/")
+    host, _, name = rest.removeprefix("//").partition("/")
+    store, base = pa.fs.FileSystem.from_uri(f"{scheme}://{host}/")
+    return store, f"{base.rstrip('/')}/{name}"
+
+
 def fingerprint_files(files: DataFrame, chunk: int = FINGERPRINT_CHUNK) -> DataFrame:
     """``path``, ``fingerprint`` of films by their ``path`` and ``length``: head, middle and tail are read in place.
 
@@ -97,13 +111,7 @@ def fingerprint_files(files: DataFrame, chunk: int = FINGERPRINT_CHUNK) -> DataF
     """
     def fingerprint(path: str, length: int) -> str | None:
         try:
-            scheme, _, rest = path.partition(":")
-            if path.startswith("/") or scheme == "file":  # as Spark writes it, with one slash
-                store, at = pa.fs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/")
-            else:  # names are taken as they are, so only the store itself is read as a URI
-                host, _, name = rest.removeprefix("//").partition("/")
-                store, base = pa.fs.FileSystem.from_uri(f"{scheme}://{host}/")
-                at = f"{base.rstrip('/')}/{name}"
+            store, at = _opened(path)
             digest = hashlib.sha256(str(length).encode())
             with store.open_input_file(at) as file:
                 for offset in (0, length // 2 - chunk // 2, length - chunk):
@@ -122,8 +130,7 @@ def fingerprint_files(files: DataFrame, chunk: int = FINGERPRINT_CHUNK) -> DataF
     return known.mapInArrow(run, "path string, fingerprint string")
 
 
-def list_files(spark: SparkSession, roots: list[str], glob: str | None = None) -> DataFrame:
-    """Files below ordered roots, from listing metadata alone (contents are never read)."""
+def _listed_by_spark(spark: SparkSession, roots: list[str], glob: str | None) -> DataFrame:
     parts = []
     for i, root in enumerate(roots):
         reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
@@ -134,3 +141,78 @@ def list_files(spark: SparkSession, roots: list[str], glob: str | None = None) -
     for part in parts[1:]:
         out = out.unionByName(part)
     return out
+
+
+def _entries(folder: str) -> Iterator[tuple[str, bool, int | None, int | None]]:
+    """Name, whether it is a folder, bytes and microseconds of change of what lies in a folder; links to folders are left out."""
+    store, at = _opened(folder)
+    if not isinstance(store, pa.fs.LocalFileSystem):
+        for info in store.get_file_info(pa.fs.FileSelector(at)):
+            changed = None if info.mtime_ns is None else info.mtime_ns // 1000
+            yield info.base_name, info.type == pa.fs.FileType.Directory, info.size, changed
+        return
+    with os.scandir(at) as found:
+        for entry in found:
+            is_dir = entry.is_dir()
+            if is_dir and entry.is_symlink():
+                continue
+            try:
+                known = entry.stat()
+            except OSError:  # a link to nothing is a file of unknown length
+                known = None
+            name = entry.name.encode(errors="surrogateescape").decode(errors="replace")
+            yield name, is_dir, known and known.st_size, known and known.st_mtime_ns // 1000
+
+
+#: Entries in one batch of a listing.
+LISTED = 10_000
+_ENTRY = "root_idx int, path string, length long, modificationTime timestamp, is_dir boolean"
+
+
+def list_files(spark: SparkSession, roots: list[str], glob: str | None = None, hidden: bool = False) -> DataFrame:
+    """Files below ordered roots, from listing metadata alone (contents are never read).
+
+    Result: ``root_idx``, ``path``, ``length``, ``modificationTime``. Executors walk the folders level by level: the folders of a level are
+    dealt over them and what lies in those is written to the shared folder, so the driver holds no listing and a lost executor costs the
+    folders it had. One task lists one folder, in batches. A folder or root that is missing or can't be read has no
+    files; links to folders are not followed; empty files count. Names that begin with a dot or underscore are left out,
+    with all below them, unless ``hidden``. ``glob``: a pattern of ``*``, ``?`` and ``[]`` for names of files. Stores that Arrow
+    doesn't open are listed by Spark, by its own rules.
+    """
+    default = spark.sparkContext._jsc.hadoopConfiguration().get("fs.defaultFS")
+    full = [f"file:{r}" if r.startswith("/") and default.startswith("file:") else default.rstrip("/") + r if r.startswith("/") else r for r in roots]
+    try:
+        tops = ["file:" + at if isinstance(store, pa.fs.LocalFileSystem) else r for r in full for store, at in [_opened(r)]]
+    except (OSError, pa.ArrowInvalid, pa.ArrowNotImplementedError):
+        return _listed_by_spark(spark, roots, glob)
+
+    def batch_of(rows):
+        root, path, length, changed, is_dir = zip(*rows)
+        columns = [pa.array(root, pa.int32()), pa.array(path, pa.string()), pa.array(length, pa.int64()),
+                   pa.array(changed, pa.timestamp("us", "UTC")), pa.array(is_dir, pa.bool_())]
+        return pa.RecordBatch.from_arrays(columns, names=["root_idx", "path", "length", "modificationTime", "is_dir"])
+
+    def run(batches):
+        for batch in batches:
+            for root, folder in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                rows = []
+                try:
+                    for name, is_dir, length, changed in _entries(folder):
+                        if (hidden or name[0] not in "._") and (is_dir or glob is None or fnmatch.fnmatchcase(name, glob)):
+                            rows.append((root, f"{folder.rstrip('/')}/{name}", length, changed, is_dir))
+                        if len(rows) == LISTED:
+                            yield batch_of(rows)
+                            rows = []
+                except (OSError, pa.ArrowInvalid):
+                    pass
+                if rows:
+                    yield batch_of(rows)
+
+    base, levels = scratch_path(spark, "listing"), []
+    folders = spark.createDataFrame(list(enumerate(tops)), "root_idx int, path string")
+    while not folders.isEmpty():
+        levels.append(f"{base}/level-{len(levels)}")
+        dealt = folders.repartition(spark.sparkContext.defaultParallelism, "path")
+        dealt.mapInArrow(run, _ENTRY).write.parquet(levels[-1])
+        folders = spark.read.schema(_ENTRY).parquet(levels[-1]).where("is_dir").select("root_idx", "path")
+    return spark.read.schema(_ENTRY).parquet(*levels).where("NOT is_dir").drop("is_dir")

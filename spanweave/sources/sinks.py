@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spanweave.functions.timefmt import idiv, ms_to_ts
 from spanweave.operators.jobs import upsert_latest
 from spanweave.operators.scan import Running, id_blocks, row_rank, running, time_blocks
+from spanweave.session import stage
 
 MEDIA = "media_id"
 #: Findings per timeline document; films have far fewer, and a catch-all media is paged.
@@ -84,8 +87,58 @@ def write_timelines(findings: DataFrame, path: str, headers: DataFrame | None =
     timeline_json(nest_timeline(findings, headers)).write.mode("overwrite").parquet(path)
 
 
-def upsert_table(current: DataFrame | None, changes: DataFrame, keys: Sequence[str], order: Sequence[str],
-                 path: str) -> None:
-    """Write the next version of a keyed table to ``path``, a new folder; readers switch when it is complete."""
-    rows = changes if current is None else current.unionByName(changes)
-    upsert_latest(rows, keys, order).write.mode("errorifexists").parquet(path)
+class BucketedTable:
+    """A keyed table in hash buckets, of which a change rewrites those that hold its keys.
+
+    Files of a change go to a new folder; a manifest then names the folder of each bucket, and readers follow the newest manifest. A change
+    that fails before it leaves the earlier version as it was, and one that loses a race to another fails. Each bucket lies whole in one
+    folder, so nothing needs compacting. ``buckets`` stays as the first change set it; a bucket should fit in a task.
+    Folders that no manifest names any more are left to the retention policy. No column may be called ``bucket``.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, keys: Sequence[str], order: Sequence[str], buckets: int = 64):
+        self.spark, self.path, self.keys, self.order, self.buckets = spark, path, list(keys), list(order), buckets
+
+    def _manifest(self) -> tuple[int, dict[int, str]]:
+        """Newest version (0: none) and the folder of each bucket: as many rows as there are buckets."""
+        try:
+            all_of_them = self.spark.read.schema("buckets int, bucket int, folder string, version long").json(f"{self.path}/manifest")
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return 0, {}
+        version = all_of_them.agg(F.max("version")).first()[0] or 0
+        rows = all_of_them.where(F.col("version") == version).collect()
+        if any(r.buckets != self.buckets for r in rows):
+            raise ValueError(f"the table has {rows[0].buckets} buckets, not {self.buckets}")
+        return version, {r.bucket: r.folder for r in rows}
+
+    def _read(self, held: dict[int, str]) -> DataFrame | None:
+        paths = [f"{self.path}/data/{folder}/bucket={b}" for b, folder in sorted(held.items())]
+        return self.spark.read.parquet(*paths) if paths else None
+
+    def read(self) -> DataFrame | None:
+        """The newest version; None before the first row."""
+        return self._read(self._manifest()[1])
+
+    def upsert(self, changes: DataFrame) -> list[int]:
+        """Take in new rows: per key the last by ``order`` stays, a change before an earlier row of equal order. Buckets rewritten."""
+        if "bucket" in (c.lower() for c in changes.columns):
+            raise ValueError("a column is called bucket")
+        version, held = self._manifest()
+        changes = stage(changes)
+        bucket = F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int")
+        touched = sorted(r[0] for r in changes.select(bucket).distinct().collect())  # at most as many as buckets
+        if not touched:
+            return touched
+        rows = changes.withColumn("__new", F.lit(True))
+        earlier = self._read({b: held[b] for b in touched if b in held})
+        if earlier is not None:
+            rows = rows.unionByName(earlier.withColumn("__new", F.lit(False)))
+        merged = upsert_latest(rows, self.keys, [*self.order, "__new"]).drop("__new").withColumn("bucket", bucket)
+        folder = uuid.uuid4().hex
+        merged.repartition(len(touched), "bucket").write.partitionBy("bucket").parquet(f"{self.path}/data/{folder}")
+        named = [(self.buckets, b, f) for b, f in sorted((held | dict.fromkeys(touched, folder)).items())]
+        manifest = self.spark.createDataFrame(named, "buckets int, bucket int, folder string")
+        manifest.coalesce(1).write.json(f"{self.path}/manifest/version={version + 1}")
+        return touched

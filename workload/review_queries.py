@@ -8,6 +8,8 @@ from spanweave.operators import jobs as jb
 from spanweave.operators import library as lb
 from spanweave.operators import reconcile as rc
 from spanweave.plans import detectors
+from spanweave.session import scratch_path
+from spanweave.sources import sinks as sk
 from workload import views as v
 from workload.registry import query
 from workload.scalar_queries import _TYPE
@@ -456,8 +458,11 @@ def library_total(spark, sf):
 
 
 SQL["status"] = f"""
-film_jobs AS (SELECT replace(lower(split_part(media_path, '/', -1)), '.mkv', ' (1950).mkv') AS name, id, engine, status, {_RANK} AS r, created_at FROM jobs),
+film_jobs AS (SELECT replace(lower(split_part(media_path, '/', -1)), '.mkv', ' (1950).mkv') AS name, id, engine, status, {_RANK} AS r, created_at,
+    id::BIGINT % 101 / 100 AS progress, 'step ' || id::BIGINT % 5 AS stage, CASE WHEN status = 'failed' THEN 'lost ' || id END AS error FROM jobs),
 film_state AS (SELECT name, first(id ORDER BY coalesce(r, 3), created_at DESC, id) AS job_id, first(status ORDER BY coalesce(r, 3), created_at DESC, id) AS job_status,
+    first(progress ORDER BY coalesce(r, 3), created_at DESC, id) AS job_progress, first(stage ORDER BY coalesce(r, 3), created_at DESC, id) AS job_stage,
+    first(error ORDER BY coalesce(r, 3), created_at DESC, id) AS job_error, first(engine ORDER BY coalesce(r, 3), created_at DESC, id) AS job_engine,
     count(r) AS active, bool_or(status IN ('completed', 'rendered')) AS done,
     coalesce(string_agg(DISTINCT engine, ',' ORDER BY engine) FILTER (status IN ('completed', 'rendered') AND engine <> 'render'), '') AS engines_done FROM film_jobs GROUP BY name),
 film_counts AS (SELECT lower(split_part(path, '/', -1)) AS name, count(*) AS total, count(*) FILTER (approved) AS approved, count(*) FILTER (NOT approved) AS rejected,
@@ -465,17 +470,42 @@ film_counts AS (SELECT lower(split_part(path, '/', -1)) AS name, count(*) AS tot
 film_marks AS (SELECT DISTINCT replace(name, '.timeline.json', e) AS name FROM sidecars, (SELECT unnest(['.mkv', '.mp4']) AS e))"""
 
 
+def shown_jobs(spark, sf):
+    """Jobs with all that a page shows. They name their film without a year; give them one so that some meet the files."""
+    key = F.col("id").cast("bigint")
+    return v.jobs(spark, sf).withColumns({
+        "media_path": F.replace("media_path", F.lit(".mkv"), F.lit(" (1950).mkv")), "progress": key % 101 / 100,
+        "stage": F.concat(F.lit("step "), key % 5), "error": F.when(F.col("status") == "failed", F.concat(F.lit("lost "), "id"))})
+
+
 @query("status_for_paths", "files jobs findings idx sidecars asked status", """
 SELECT a.pos, a.path, r.resolved_path, ok AS analyzed, CASE WHEN ok THEN coalesce(total, 0) ELSE 0 END AS total, CASE WHEN ok THEN coalesce(approved, 0) ELSE 0 END AS approved,
-  CASE WHEN ok THEN coalesce(rejected, 0) ELSE 0 END AS rejected, CASE WHEN ok THEN coalesce(pending, 0) ELSE 0 END AS pending, job_id, job_status, coalesce(active, 0) AS active, coalesce(engines_done, '') AS engines_done
+  CASE WHEN ok THEN coalesce(rejected, 0) ELSE 0 END AS rejected, CASE WHEN ok THEN coalesce(pending, 0) ELSE 0 END AS pending, job_id, job_status, job_progress, job_stage, job_error, job_engine, coalesce(active, 0) AS active, coalesce(engines_done, '') AS engines_done
 FROM asked a JOIN (SELECT *, m.name IS NOT NULL OR (coalesce(done, false) AND total IS NOT NULL) AS ok FROM resolved r
   LEFT JOIN film_state j ON j.name = lower(split_part(r.resolved_path, '/', -1)) LEFT JOIN film_counts c ON c.name = lower(split_part(r.resolved_path, '/', -1))
   LEFT JOIN film_marks m ON m.name = lower(split_part(r.resolved_path, '/', -1))) r USING (path)""")
 def status_for_paths(spark, sf):
     files = v.files(spark, sf)
     requests = asked(spark, sf)
-    # Jobs name their film without a year; give them one so that some meet the files.
-    named = v.jobs(spark, sf).withColumn("media_path", F.replace("media_path", F.lit(".mkv"), F.lit(" (1950).mkv")))
+    named = shown_jobs(spark, sf)
     on_path = files.select(F.col("file_id").alias("media_id"), F.lower(lb.file_name(F.col("path"))).alias("name")).join(v.findings(spark, sf), "media_id")
     marks = lb.library_sidecars(files).select(F.explode(F.array(*[F.replace("name", F.lit(lb.SIDECAR), F.lit(e)) for e in (".mkv", ".mp4")])).alias("name"))
     return jb.status_for_paths(requests, lb.resolve_path(requests, files), named, lb.review_counts(on_path, "name"), marks)
+
+
+@query("active_for_paths", "files jobs findings idx sidecars asked status", """
+SELECT pos, path, row_number() OVER (PARTITION BY pos, path ORDER BY r, created_at DESC, id) AS place, id, status, progress, stage, error, engine
+FROM asked JOIN resolved USING (path) JOIN film_jobs ON name = lower(split_part(resolved_path, '/', -1)) WHERE r IS NOT NULL""")
+def active_for_paths(spark, sf):
+    requests = asked(spark, sf)
+    return jb.active_for_paths(requests, lb.resolve_path(requests, v.files(spark, sf)), shown_jobs(spark, sf))
+
+
+@query("upsert_buckets", "jobs", "SELECT id, CASE WHEN status IN ('queued', 'running') THEN 'cancelled' ELSE status END AS status, engine FROM jobs")
+def upsert_buckets(spark, sf):
+    """All jobs go into a table, then those that wait or run are cancelled."""
+    jobs = v.jobs(spark, sf).select("id", "status", "engine", F.lit(0).alias("seq"))
+    table = sk.BucketedTable(spark, scratch_path(spark, "jobs"), ["id"], ["seq"], 16)
+    table.upsert(jobs)
+    table.upsert(jobs.where("status IN ('queued', 'running')").withColumns({"status": F.lit("cancelled"), "seq": F.lit(1)}))
+    return table.read().drop("seq")
