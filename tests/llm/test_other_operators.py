@@ -1,7 +1,9 @@
 """Quality network, top-k, dialogues, languages, licences: brute force, round trips and held-out accuracy."""
 
+import math
 import random
-from collections import defaultdict
+import re
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -198,3 +200,54 @@ def test_licenses_own_and_inherited(spark):
     assert got[6] == got[8] == got[9] == got[10] == (None, None, None)
     assert got[7][:2] == ("CC-BY-NC-4.0", "own")
     assert licenses.scan_licenses(df.where("false")).count() == 0
+
+
+def brute_license(text, is_file, least=0.6, margin=0.02):
+    """Best notice of a text by cosines of word counts, from their definition."""
+    def counted(t):
+        return Counter(w for w in re.split(r"[\W_]+", t.lower()) if w)
+
+    held = [(name, counted(t)) for name, t in licenses.TEMPLATES]
+    df = Counter(w for _, c in held for w in c)
+
+    def unit(c):
+        weights = {w: n * (math.log((1 + len(held)) / (1 + df[w])) + 1) for w, n in c.items()}
+        norm = math.sqrt(sum(x * x for x in weights.values()))
+        return {w: x / norm for w, x in weights.items()}
+
+    lines, found = text.split("\n"), [text.replace("\n", " ")] * is_file
+    for i, line in enumerate(lines):
+        if re.search(licenses._HINT, line):
+            found.append(line)
+            for low, high in ((i, i + 2), (i, i + 3), (i - 1, i + 1), (i - 1, i + 2)):
+                if low >= 0 and high <= len(lines) and all(len(x) <= licenses.WRAPPED for x in lines[low:high]):
+                    found.append(" ".join(lines[low:high]))
+    best = []
+    for notice in found:
+        mine, by = unit(counted(notice)), {}
+        for name, c in held:
+            score = round(sum(x * mine.get(w, 0) for w, x in unit(c).items()), 9)
+            if score >= least:
+                by[name] = max(score, by.get(name, 0))
+        top = sorted((-x, name) for name, x in by.items())
+        if top and (len(top) == 1 or top[1][0] - top[0][0] >= margin - 1e-12):
+            best.append(top[0])
+    return min(best)[1] if best else None
+
+
+RELATIVES = [
+    ("Licensed under CC BY 4.0", "CC-BY-4.0"), ("CC BY-SA 4.0", "CC-BY-SA-4.0"), ("Licensed under CC BY-NC 4.0.", "CC-BY-NC-4.0"), ("Licensed under CC BY-NC-SA 4.0", None),
+    ("# This work is licensed under the GNU General Public License version 2", "GPL-2.0"), ("This work is licensed under the GNU General Public License", None),
+    ("GNU Lesser General Public License version 3", "LGPL-3.0"), ("// SPDX-License-Identifier: MIT", "MIT"), ("/* SPDX-License-Identifier: Apache-2.0 */", "Apache-2.0"),
+    ("SPDX-License-Identifier: GPL-2.0-only", "GPL-2.0"), ("SPDX-License-Identifier: BSD-2-Clause", "BSD-2-Clause"), ("SPDX-License-Identifier: EUPL-1.2", None),
+    ("Redistribution and use in source and binary forms, with or without modification, are permitted", None), ("the licence plate of the car was seen", None),
+    ("code\n * This work is licensed under\n * the GNU General Public License\n * version 2\ncode and more code", "GPL-2.0"),
+    ("Released under\nthe MIT License", "MIT"), ("Released under the\n" + "x" * 161 + " MIT License", None), ("BSD 3-Clause License\n\nRedistribution and use in source and binary forms", "BSD-3-Clause"),
+    ("\n".join(["a line of talk"] * 60_000) + "\nLicensed under the Apache License,\nVersion 2.0", "Apache-2.0"), ("licence " * 30_000, None)]
+
+
+def test_licenses_of_near_relatives(spark):
+    files = [(i, f"d{i}/x.srt", t) for i, (t, _) in enumerate(RELATIVES)] + [(100 + i, f"e{i}/LICENSE", t) for i, (t, _) in enumerate(RELATIVES)]
+    got = {r.media_id: r.license for r in licenses.scan_licenses(spark.createDataFrame(files, "media_id bigint, media_path string, text string")).collect()}
+    assert {i: got[i] for i in range(len(RELATIVES))} == {i: want for i, (_, want) in enumerate(RELATIVES)}
+    assert got == {i: brute_license(t, i >= 100) for i, _, t in files}
