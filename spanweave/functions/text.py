@@ -38,14 +38,21 @@ _CONTROLS = "".join(map(chr, (
     0x94, 0x95, 0x96, 0x97, 0x98, 0x99, 0x9a, 0x9b, 0x9c, 0x9e, 0x9f)))
 
 
-def repair_mojibake(text: Column) -> Column:
-    """Undo UTF-8 that was read as code page 1252; text that does not decode stays as it is."""
+def mojibake(text: Column) -> tuple[Column, Column, Column]:
+    """Whether a text looks like UTF-8 read as code page 1252, whether it can be encoded in that, and if so what its bytes read as
+    (which may not be valid UTF-8)."""
     suspect = text.contains("â€") | text.contains("Ã")
     # A C1 control in the input is not a 1252 character, so the round trip must leave such text alone.
     encodable = ~text.rlike(rf"[^\x{{00}}-\x{{7f}}\x{{a0}}-\x{{ff}}{_CP1252}]")
-    raw = F.encode(F.translate(F.when(suspect & encodable, text), _CP1252, _CONTROLS), "iso-8859-1")
-    as_text = raw.cast("string")
-    return F.when(suspect & encodable & F.is_valid_utf8(as_text), as_text).otherwise(text)
+    raw = F.encode(F.translate(F.when(encodable, text), _CP1252, _CONTROLS), "iso-8859-1")
+    return suspect, encodable, raw.cast("string")
+
+
+def repair_mojibake(text: Column) -> Column:
+    """Undo UTF-8 that was read as code page 1252; text that does not decode stays as it is."""
+    suspect = mojibake(text)[0]
+    _, encodable, decoded = mojibake(F.when(suspect, text))
+    return F.when(suspect & encodable & F.is_valid_utf8(decoded), decoded).otherwise(text)
 
 
 # The OCR corrections, in order.

@@ -55,26 +55,37 @@ def merge_hits(hits: DataFrame, keys=(MEDIA,), gap_ms: int = 750, seq: str = "se
 
     Words are joined in start order, confidence is the lowest, and a context is appended only if the text
     so far does not hold it. ``seq`` breaks ties between equal starts. The label names every word of a
-    burst, so a burst is one value by definition; the media around it is not.
+    burst, so a burst is one value by definition; the media around it is not, and neither are its contexts, of which
+    only first occurrences are gathered.
     """
     return named_bursts(merge_bursts(hit_bursts(hits, seq), keys, gap_ms), keys)
 
 
 def hit_bursts(hits: DataFrame, seq: str = "seq") -> DataFrame:
-    """Each hit as a burst of its own: ``hits`` beside the columns that are not of the hit."""
-    hit = F.struct("start_ms", F.col(seq).alias("seq"), "word", "context")
-    return hits.withColumn("hits", F.array(hit)).drop(*{seq, "word", "context"})
+    """Each hit as a burst of its own: ``words`` and ``contexts`` beside the columns that are not of the hit."""
+    at = [F.col("start_ms"), F.col(seq).alias("seq"), F.col("word")]
+    context = F.coalesce("context", F.lit("")).alias("context")
+    return hits.withColumns({"words": F.array(F.struct(*at)), "contexts": F.array(F.struct(*at, context))}).drop(*{seq, "word", "context"})
 
 
 def merge_bursts(bursts: DataFrame, keys=(MEDIA,), gap_ms: int = 750) -> DataFrame:
-    """Bursts of bursts: ``start_ms``, ``end_ms``, the lowest ``confidence`` and the ``hits`` in order.
+    """Bursts of bursts: ``start_ms``, ``end_ms``, the lowest ``confidence``, the ``words`` in order and the distinct
+    ``contexts`` in the order of their first occurrence.
 
-    Merging what has been merged gives what merging all at once does, in whatever order and grouping.
+    Merging what has been merged gives what merging all at once does, in whatever order and grouping. Contexts are reduced to one
+    per burst and text before any list is made, so a burst of many hits holds each of its contexts once.
     """
-    keys = list(keys)
+    keys, burst = list(keys), [*keys, "island_ms"]
     where = islands(bursts, keys, gap_ms).select(*keys, "start_ms", "island_ms")
-    return bursts.join(where, [*keys, "start_ms"]).groupBy(*keys, F.col("island_ms").alias("start_ms")).agg(
-        F.max("end_ms").alias("end_ms"), F.min("confidence").alias("confidence"), F.array_sort(F.flatten(F.collect_list("hits"))).alias("hits"))
+    each = bursts.join(where, [*keys, "start_ms"]).select(*burst, "end_ms", "confidence", "words", F.posexplode("contexts").alias("i", "c"))
+    # The words go along with the first context alone.
+    words = F.flatten(F.collect_list(F.when(F.col("i") == 0, F.col("words"))))
+    once = each.groupBy(*burst, F.col("c.context").alias("context")).agg(
+        F.max("end_ms").alias("end_ms"), F.min("confidence").alias("confidence"), words.alias("words"), F.min(F.struct("c.start_ms", "c.seq", "c.word")).alias("at"))
+    first = F.struct("at.start_ms", "at.seq", "at.word", "context")
+    return once.groupBy(*keys, F.col("island_ms").alias("start_ms")).agg(
+        F.max("end_ms").alias("end_ms"), F.min("confidence").alias("confidence"),
+        F.array_sort(F.flatten(F.collect_list("words"))).alias("words"), F.array_sort(F.collect_list(first)).alias("contexts"))
 
 
 def named_bursts(bursts: DataFrame, keys=(MEDIA,)) -> DataFrame:
@@ -88,9 +99,9 @@ def burst_label() -> list[Column]:
         return F.when(F.contains(text, item), text).otherwise(F.concat(text, F.lit(" … "), item))
 
     # A context met before is already in the text, so only first occurrences can add anything.
-    contexts = F.array_distinct(F.transform("hits", lambda h: F.coalesce(h["context"], F.lit(""))))
+    contexts = F.transform("contexts", lambda c: c["context"])
     later = F.slice(contexts, F.lit(2), F.greatest(F.size(contexts) - 1, F.lit(0)))
-    return [F.array_join(F.transform("hits", lambda h: h["word"]), ", ").alias("word"), F.col("confidence"),
+    return [F.array_join(F.transform("words", lambda w: w["word"]), ", ").alias("word"), F.col("confidence"),
             F.aggregate(later, F.get(contexts, F.lit(0)), append).alias("context")]
 
 

@@ -11,7 +11,7 @@ from spanweave.functions.review import ACTIVE_RANK, DETECTORS, FINISHED, TERMINA
 from spanweave.functions.schedule import Schedule, schedule_allowed
 from spanweave.functions.policy import lookup
 from spanweave.functions.text import base_name_key
-from spanweave.operators.scan import global_rank, row_rank, time_blocks
+from spanweave.operators.scan import Along, global_rank, row_rank, time_blocks
 
 
 def upsert_latest(rows: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -41,15 +41,15 @@ def order_key() -> list[Column]:
 
 
 def queue_rank(jobs: DataFrame) -> DataFrame:
-    return global_rank(jobs, order_key(), "rank")
+    return global_rank(jobs, [Along(F.col("queue_position"), nulls_last=True), Along(F.col("created_at")), Along(F.col("id"))], "rank")
 
 
 def allocate_positions(jobs: DataFrame, new: DataFrame) -> DataFrame:
     """End-of-queue positions for new jobs in submission order."""
-    top = jobs.agg(F.max("queue_position")).first()[0]  # one number
-    start = 0 if top is None else top + 1
-    ranked = global_rank(new.drop("queue_position"), [F.col("created_at").asc(), F.col("id").asc()], "__n")
-    return ranked.withColumn("queue_position", F.lit(start).cast("bigint") + F.col("__n") - 1).drop("__n")
+    # One row.
+    top = jobs.agg(F.coalesce(F.max("queue_position") + 1, F.lit(0)).cast("bigint").alias("__start"))
+    ranked = global_rank(new.drop("queue_position"), [Along(F.col("created_at")), Along(F.col("id"))], "__n")
+    return ranked.crossJoin(F.broadcast(top)).withColumn("queue_position", F.col("__start") + F.col("__n") - 1).drop("__start", "__n")
 
 
 def runnable(jobs: DataFrame, allowed: bool | Column, cancelled: DataFrame | None = None) -> DataFrame:

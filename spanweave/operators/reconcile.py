@@ -11,7 +11,7 @@ from spanweave.functions.policy import merge_severity
 from spanweave.functions.text import finding_type
 from spanweave.functions.timefmt import fix_inverted
 from spanweave.operators.ranges import best_holder
-from spanweave.operators.scan import BLOCK_MS, block_of, global_rank, id_blocks, row_rank, running, Running
+from spanweave.operators.scan import BLOCK_MS, Along, block_of, global_rank, id_blocks, row_rank, running, Running
 from spanweave.schema import FINDING_COLUMNS
 
 MEDIA = "media_id"
@@ -270,8 +270,8 @@ def union_job_timelines(job_findings: DataFrame, jobs: DataFrame, sidecars: Data
     owned = job_findings.join(jobs.select("job_id", "fingerprint", *(["created_at"] if dated else [])), "job_id")
     if sidecars is not None:
         owned = owned.join(sidecars.select("fingerprint"), "fingerprint", "left_anti")
-    newest = [F.col("created_at").desc()] if dated else []
-    order = [F.col("fingerprint"), F.col("start_ms"), *newest, F.col("job_id"), F.col("id")]
+    newest = [Along(F.col("created_at"), descending=True, nulls_last=True)] if dated else []
+    order = [Along(F.col("fingerprint")), Along(F.col("start_ms")), *newest, Along(F.col("job_id")), Along(F.col("id"))]
     ranked = global_rank(owned, order, "__pos")
     first = ranked.groupBy("fingerprint").agg(F.min("__pos").alias("__first"))
     return ranked.join(first, "fingerprint").withColumns({

@@ -8,6 +8,7 @@ rest. All of it is lazy, deterministic and built from joins and windows.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
@@ -15,8 +16,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanweave.session import shared_dir
-
 #: Media-clock width of a block. Operators scan rows already reduced to one per (media, ms), so a block
 #: holds at most this many rows whatever the skew.
 BLOCK_MS = 3_600_000
@@ -116,22 +115,69 @@ def row_rank(df: DataFrame, keys: Sequence[str], order: Sequence[str],
     return running(df, keys, order, blocks, **{name: Running("sum", F.lit(1).cast("bigint"), True)})
 
 
-def global_rank(df: DataFrame, order: Sequence[Column], name: str) -> DataFrame:
-    """1-based position over the whole table, for any total order.
+@dataclass(frozen=True)
+class Along:
+    """One key of a total order. Nulls come first in either direction unless ``nulls_last``."""
+
+    value: Column
+    descending: bool = False
+    nulls_last: bool = False
+
+    def sorting(self) -> Column:
+        way = "desc" if self.descending else "asc"
+        return getattr(self.value, f"{way}_nulls_{'last' if self.nulls_last else 'first'}")()
+
+
+def _precedes(order: Sequence[Along], x: Column, y: Column) -> Column:
+    """Whether struct ``x`` of the keys' values (``k0``, ``k1``, ...) comes before ``y``."""
+    before = F.lit(False)
+    for i, key in reversed(list(enumerate(order))):
+        a, b = x[f"k{i}"], y[f"k{i}"]
+        nulls = (a.isNotNull() & b.isNull()) if key.nulls_last else (a.isNull() & b.isNotNull())
+        values = F.coalesce(a > b if key.descending else a < b, F.lit(False))
+        before = nulls | values | (a.eqNullSafe(b) & before)
+    return before
+
+
+#: Of the keys every so many enter the sketch of a ranking, by hash; so many of those lie between two split points.
+SKETCHED, BETWEEN = 64, 64
+
+
+def global_rank(df: DataFrame, order: Sequence[Along], name: str) -> DataFrame:
+    """1-based position over the whole table, for any total order; rows that tie in all keys get consecutive positions.
 
-    A range partitioning sorts the table in parallel; its partition sizes give the offsets. The sorted
-    rows are checkpointed first, since two evaluations could sample different range bounds.
+    Split points cut the order into ranges, twice as many as there are shuffle partitions: of the distinct keys that
+    a hash picks, those with the smallest hashes, evenly spaced. They depend on the rows alone, not on how these are dealt, so any
+    evaluation gives the same ranges and nothing has to be written or computed before an action. Counts per range
+    give the offsets and a window ranks inside each. ``df`` must itself give the same rows whenever it is evaluated.
     """
-    shared_dir(df.sparkSession)
-    placed = (df.repartitionByRange(*order).sortWithinPartitions(*order)
-              .withColumn("__at", F.monotonically_increasing_id()).checkpoint())
-    part, place = F.shiftright("__at", 33), F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
-    sizes = placed.groupBy(part.alias("__part")).agg(F.count(F.lit(1)).alias("n"))
-    # One row per partition, so this window and the broadcast are bounded by the partition count.
-    offsets = sizes.select("__part", F.coalesce(F.sum("n").over(
-        Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
-    return (placed.withColumn("__part", part).join(F.broadcast(offsets), "__part")
-            .withColumn(name, F.col("__before") + place + 1).drop("__part", "__before", "__at"))
+    ranges = 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = F.struct(*[key.value.alias(f"k{i}") for i, key in enumerate(order)])
+    inner = [Along(F.col(f"__key.k{i}"), key.descending, key.nulls_last) for i, key in enumerate(order)]
+    keyed = df.withColumn("__key", keys)
+    picked = keyed.select("__key", F.xxhash64("__key").alias("__h")).where(F.pmod("__h", F.lit(SKETCHED)) == 0).distinct()
+    sketch = picked.orderBy("__h", *[key.sorting() for key in inner]).limit(ranges * BETWEEN)
+    # The sketch is bounded by the number of ranges, and so are this window, the list and the broadcast of one row.
+    placed = sketch.withColumn("__n", F.row_number().over(Window.orderBy(*[key.sorting() for key in inner])))
+    points = placed.where(F.col("__n") % BETWEEN == 0).agg(F.transform(
+        F.array_sort(F.collect_list(F.struct("__n", "__key"))), lambda p: p["__key"]).alias("__points"))
+    wide = math.isqrt(ranges) + 1
+    runs = F.transform(F.sequence(F.lit(0), F.floor(F.size("__points") / wide).cast("int")),
+                       lambda i: F.slice(F.col("__points"), i * wide + 1, F.lit(wide)))
+    runs = points.select(F.filter(runs, lambda r: F.size(r) > 0).alias("__runs"))
+
+    def reached(points: Column, first) -> Column:
+        return F.size(F.filter(points, lambda p: ~_precedes(order, F.col("__key"), first(p))))
+
+    # Runs of points that have begun, and points of the last of those that are reached.
+    placed = keyed.crossJoin(F.broadcast(runs)).withColumn("__run", reached(F.col("__runs"), lambda r: F.get(r, F.lit(0))))
+    within = reached(F.get("__runs", F.col("__run") - 1), lambda p: p)
+    ranged = placed.withColumn("__range", F.when(F.col("__run") == 0, 0).otherwise((F.col("__run") - 1) * wide + within)).drop("__runs", "__run")
+    offsets = ranged.groupBy("__range").agg(F.count(F.lit(1)).alias("__rows")).select("__range", F.coalesce(F.sum("__rows").over(
+        Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    local = F.row_number().over(Window.partitionBy("__range").orderBy(*[key.sorting() for key in inner])).cast("bigint")
+    return (ranged.withColumn("__local", local).join(F.broadcast(offsets), "__range")
+            .withColumn(name, F.col("__before") + F.col("__local")).drop("__range", "__before", "__local", "__key"))
 
 
 def asof(probes: DataFrame, table: DataFrame, keys: Sequence[str], at: str, table_at: str,

@@ -12,8 +12,9 @@ import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanweave.functions.text import SPACE, clean_cue_text, repair_mojibake
+from spanweave.functions.text import SPACE, clean_cue_text, mojibake, repair_mojibake
 from spanweave.functions.timefmt import ts_to_ms
+from spanweave.operators.scan import Running, running
 from spanweave.schema import PLAN_JSON, SHOTS_JSON, TIMELINE_JSON, TRANSCRIPT_JSON
 from spanweave.session import scratch_path
 
@@ -33,7 +34,11 @@ def read_documents(spark: SparkSession, path: str, suffix: str = "") -> DataFram
 def parse_srt(documents: DataFrame, key: str = MEDIA, strip_sound_cues: bool = True) -> DataFrame:
     """Subtitle text (``text``) to cue rows."""
     text = F.regexp_replace(repair_mojibake(F.col("text")), r"\r\n?", "\n")
-    blocks = documents.select(key, F.posexplode(F.split(text, rf"\n{SPACE}*\n")).alias("block_idx", "block"))
+    return _cues(documents.select(key, F.posexplode(F.split(text, rf"\n{SPACE}*\n")).alias("block_idx", "block")), key, strip_sound_cues)
+
+
+def _cues(blocks: DataFrame, key: str, strip_sound_cues: bool) -> DataFrame:
+    """Cue rows of numbered blocks."""
     lines = F.filter(F.split("block", LINE_END), lambda x: ~x.rlike(rf"\A{SPACE}*\z"))
     stamped = blocks.select(key, "block_idx", lines.alias("lines")).where(
         (F.size("lines") >= 2) & F.get("lines", F.lit(1)).contains("-->"))
@@ -46,6 +51,35 @@ def parse_srt(documents: DataFrame, key: str = MEDIA, strip_sound_cues: bool = T
         key, F.col("block_idx").cast("bigint").alias("cue_idx"), "start_ms", "end_ms", "text")
 
 
+def read_srt(spark: SparkSession, path: str, suffix: str = ".srt", strip_sound_cues: bool = True) -> DataFrame:
+    """Subtitle files of any length to cue rows: ``path`` and the columns of ``parse_srt``, equal to what it gives for each file.
+
+    A file is read by as many tasks as it has splits, line by line. A block begins at a line with text behind a blank one; its number is
+    a running count over the lines of the file, carried from split to split. Bytes that are no UTF-8 become
+    replacement characters, as a lenient decoder makes them. Garbled text is repaired if the whole file allows it, as ``repair_mojibake`` does
+    with a text. A byte order mark at the top is dropped. Empty files have no cues. Only a block is gathered into one row.
+    """
+    reader = spark.read.option("recursiveFileLookup", True)
+    if suffix:
+        reader = reader.option("pathGlobFilter", f"*{suffix}")
+    # Within a split the ids follow the lines; splits follow each other by their first byte.
+    lines = reader.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("split"),
+                                     F.monotonically_increasing_id().alias("at"), F.make_valid_utf8("value").alias("line"))
+    garbled, encodable, decoded = mojibake(F.col("line"))
+    fit = F.bool_and(encodable & F.coalesce(F.is_valid_utf8(decoded), F.lit(False)))
+    repairable = lines.groupBy("path").agg(F.bool_or(garbled).alias("any"), fit.alias("all")).where("any AND all").select("path", F.lit(True).alias("repair"))
+    lines = lines.join(repairable, "path", "left").withColumn("line", F.when(F.col("repair"), decoded).otherwise(F.col("line"))).drop("repair")
+    blank, order, splits = F.col("line").rlike(rf"\A{SPACE}*\z"), ["split", "at"], [("split", F.col("split"))]
+    seen = running(lines.withColumn("blank", blank), ["path"], order, splits,
+                   after=Running("last", F.col("blank")), n=Running("sum", F.lit(1).cast("bigint")))
+    # A single blank line at the top has no line end in front of it, so it begins no block.
+    begins = (~F.col("blank") & F.coalesce("after", F.lit(False)) & (F.col("n") >= 2)).cast("bigint")
+    numbered = running(seen.withColumn("begins", begins), ["path"], order, splits, block_idx=Running("sum", F.col("begins"), True))
+    held = F.array_sort(F.collect_list(F.struct("split", "at", "line")))
+    blocks = numbered.where("NOT blank").groupBy("path", "block_idx").agg(F.array_join(F.transform(held, lambda x: x["line"]), "\n").alias("block"))
+    return _cues(blocks, "path", strip_sound_cues)
+
+
 def parse_transcripts(documents: DataFrame, key: str = MEDIA) -> DataFrame:
     """Transcript JSON (``json``) to one row per word with its segment's text."""
     doc = documents.select(key, F.from_json("json", TRANSCRIPT_JSON).alias("d"))

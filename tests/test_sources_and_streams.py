@@ -1,5 +1,8 @@
 """Files in, files out, and streams in several batches."""
 
+import random
+import re
+
 import pytest
 from conftest import rows
 from pyspark.sql import functions as F
@@ -42,6 +45,55 @@ def test_srt_files(spark, tmp_path):
     assert rows(rd.parse_srt(again.withColumnRenamed("value", "text"), "media_id"), "start_ms", "text") == [(1000, "Hello there"), (5000, "Watch out")]
 
 
+def cues_of(data: bytes) -> list[tuple]:
+    """Start and text of the cues of a file, by its definition."""
+    text = data.decode(errors="replace").replace("\r\n", "\n").replace("\r", "\n")
+    if "â€" in text or "Ã" in text:
+        try:
+            text = text.encode("cp1252").decode()
+        except UnicodeError:
+            pass
+    found = []
+    for number, block in enumerate(re.split(r"\n\s*\n", text)):
+        lines = [line for line in block.splitlines() if line.strip()]
+        if len(lines) > 1 and "-->" in lines[1] and (said := " ".join(" ".join(lines[2:]).split())):
+            minute, second = re.search(r"(\d\d):(\d\d),", lines[1]).groups()
+            found.append((number, (int(minute) * 60 + int(second)) * 1000, said))
+    return found
+
+
+def test_srt_files_in_splits(spark, tmp_path):
+    """Files that many tasks read give the cues of the whole text: blank lines of all kinds, bytes that are no UTF-8, garbled files."""
+    rng, want = random.Random(6), {}
+    ends, blanks = ["\n", "\r\n", "\r"], ["", " ", "\t\x0b", "\u3000 ", "\x1c"]
+    for f in range(24):
+        end, parts = ends[f % 3], [""] * rng.randrange(4) if f % 2 else []
+        for i in range(rng.randrange(60)):
+            said = rng.choice(["Hello there", "two\u2028lines", "caf\u00e9 \u2026", "\U0001f600 x", "a\x0cb", "-->", ""])
+            stamp = f"00:{i:02d}:01,000 --> 00:{i:02d}:02,000"
+            parts += rng.choice([[str(i), stamp, said], [str(i), stamp, said, "more"], [stamp, said], [str(i)], ["", str(i), stamp, said]])
+            parts += [rng.choice(blanks) for _ in range(rng.randrange(1, 4))]
+        data = end.join(parts).encode()
+        if f % 4 == 1:
+            data = data.replace(b"Hello", b"H\xff\xe2\x82llo\xf0\x9f")
+        if f % 4 == 2:  # read as code page 1252 and written again; some with a character that has no place in it
+            data = end.join(["1", "00:00:01,000 --> 00:00:02,000", "don\u2019t caf\u00e9", ""] * 5).encode().decode("cp1252").encode()
+            data += "\u3042".encode() if f % 8 == 2 else b""
+        (tmp_path / f"film {f}.srt").write_bytes(data)
+        want[f] = cues_of(data)
+    (tmp_path / "empty.srt").write_bytes(b"")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in ("97", "1024", before):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            cues = rd.read_srt(spark, str(tmp_path)).withColumn("film", F.regexp_extract("path", r"film%20(\d+)", 1).cast("int"))
+            assert rows(cues, "film", "cue_idx", "start_ms", "text") == sorted((f, *c) for f, found in want.items() for c in found)
+        assert rd.read_srt(spark, str(tmp_path), "empty.srt").count() == 0
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert sum(map(len, want.values())) > 250
+
+
 def test_timeline_documents(spark):
     found = spark.createDataFrame([(1, i, 100 * (i % 3), 500, "gore", 0.5, "vlm", "blur", None, None, None) for i in range(1, 8)], FINDING)
     docs = sk.timeline_json(sk.nest_timeline(found, page=3))

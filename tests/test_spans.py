@@ -4,10 +4,11 @@ import random
 
 import pytest
 from conftest import rows
+from pyspark.sql import functions as F
 
 from spanweave.operators import intervals as iv
 from spanweave.operators import scan
-from spanweave.operators.scan import Running, block_of
+from spanweave.operators.scan import Along, Running, block_of
 
 SPAN = "media_id long, id long, start_ms long, end_ms long, approved boolean, action string"
 
@@ -119,6 +120,55 @@ def test_running_levels_and_rank(spark):
         want.append((k, i, n, s, max(m, n), p))
         state[k] = (s + n, max(m, n), i)
     assert rows(got, "k", "i", "n", "s", "m", "p") == sorted(want)
-    ranked = rows(scan.global_rank(df, [df.n.desc(), df.i.asc()], "r"), "r", "n", "i")
+    ranked = rows(scan.global_rank(df, [Along(F.col("n"), descending=True), Along(F.col("i"))], "r"), "r", "n", "i")
     assert [(n, i) for _, n, i in ranked] == sorted(((n, i) for _, i, n in data), key=lambda t: (-t[0], t[1]))
     assert [r for r, _, _ in ranked] == list(range(1, 501))
+
+
+def test_rank_by_split_points(spark):
+    """Nulls at either end, a value that a third of the rows have, copies of a row, and a sketch that has points."""
+    rng = random.Random(8)
+    data = [(rng.choice([None, 7, rng.randrange(-50, 50)]) if i % 3 else 7, rng.choice([None, "b", "a", "Z"]), i if i % 50 else 0) for i in range(6000)]
+    df = spark.createDataFrame(data, "p long, s string, i long")
+    ranked = scan.global_rank(df, [Along(F.col("p"), nulls_last=True), Along(F.col("s"), descending=True), Along(F.col("i"))], "r")
+
+    def place(row):
+        p, s, i = row
+        return (p is None, p or 0), (s is not None, -ord(s) if s else 0), i
+
+    got = rows(ranked, "r", "p", "s", "i")
+    assert [g[0] for g in got] == list(range(1, len(data) + 1))
+    assert [g[1:] for g in got] == sorted(data, key=place)
+    assert rows(ranked.repartition(3), "r", "p", "s", "i") == rows(scan.global_rank(df.repartition(11, "s"), [Along(F.col("p"), nulls_last=True), Along(F.col("s"), descending=True), Along(F.col("i"))], "r"), "r", "p", "s", "i")
+    held = scan.global_rank(df, [Along(F.col("i"))], "r").groupBy(F.spark_partition_id()).count()
+    assert held.count() > 1  # the ranges share the work
+    assert scan.global_rank(df.where("i < 0"), [Along(F.col("i"))], "r").columns == ["p", "s", "i", "r"]
+    assert scan.global_rank(df.where("i < 0"), [Along(F.col("i"))], "r").count() == 0
+    assert rows(scan.global_rank(df.where("i = 1"), [Along(F.col("i"))], "r"), "r", "i") == [(1, 1)]
+
+
+def test_a_long_burst_holds_each_context_once(spark):
+    hits = spark.range(100_000).selectExpr(
+        "1L as media_id", "id * 100 as start_ms", "id * 100 + 50 as end_ms", "'w' as word", "1.0D as confidence", "if(id % 11 = 10, null, concat('said ', id % 11)) as context", "id as seq")
+    burst = iv.merge_bursts(iv.hit_bursts(hits)).collect()
+    assert len(burst) == 1 and len(burst[0].words) == 100_000
+    assert [c.context for c in burst[0].contexts] == [*[f"said {i}" for i in range(10)], ""]
+    named = iv.merge_hits(hits).first()
+    assert named.context == " … ".join(f"said {i}" for i in range(10)) and named.word.count("w") == 100_000
+
+
+def test_bursts_against_a_fold(spark):
+    rng = random.Random(4)
+    made = [(m, rng.randrange(0, 20_000, 250), w, rng.choice([None, "", "a", "a b", "b … a", "c", "b c"]), i) for i, (m, w) in enumerate((rng.randrange(3), rng.choice("xyz")) for _ in range(150))]
+    hits = spark.createDataFrame([(m, t, t + 100, w, 0.5, c, i % 40) for m, t, w, c, i in made],
+                                 "media_id long, start_ms long, end_ms long, word string, confidence double, context string, seq long")
+    want, last = [], {}
+    for m, t, i, w, c in sorted((m, t, i % 40, w, c or "") for m, t, w, c, i in made):
+        if m in last and t - last[m][2] <= 300:
+            open_ = last[m]
+            open_[2], open_[3] = t + 100, f"{open_[3]}, {w}"
+            open_[4] = open_[4] if c in open_[4] else f"{open_[4]} … {c}"
+        else:
+            want.append([m, t, t + 100, w, c])
+            last[m] = want[-1]
+    assert rows(iv.merge_hits(hits, gap_ms=300), "media_id", "start_ms", "end_ms", "word", "context") == sorted(map(tuple, want))

@@ -54,6 +54,21 @@ def scan_srt_cues(spark, sf):
     return rd.parse_srt(srt_text(spark, sf))
 
 
+@query("scan_srt_files", "cues", f"""
+SELECT source, shelf, row_number - 1 AS cue_idx, start_ms, start_ms + 2000 AS end_ms, text FROM (
+  SELECT d.source, d.doc_id // 4096 AS shelf, row_number() OVER (PARTITION BY d.source, d.doc_id // 4096 ORDER BY c.media_id, c.cue_idx) AS row_number,
+    3000 * c.cue_idx AS start_ms, {_CLEANED} AS text FROM cue_lines c JOIN documents d ON d.doc_id = c.media_id) WHERE text <> ''""")
+def scan_srt_files(spark, sf):
+    """The documents as subtitle files, one per source and shelf of 4,096 ids, read in splits."""
+    folder = scratch_path(spark, "subtitles")
+    docs = v.table(spark, sf, "documents").select(F.col("doc_id").alias("media_id"), "source", F.expr("doc_id div 4096").alias("shelf"))
+    files = srt_text(spark, sf).where("text IS NOT NULL").join(docs, "media_id").repartition("source", "shelf").sortWithinPartitions("source", "shelf", "media_id")
+    files.select("source", "shelf", F.col("text").alias("value")).write.partitionBy("source", "shelf").text(folder)
+    part = r"/source=([^/]*)/shelf=(\d+)/"
+    return rd.read_srt(spark, folder, ".txt").select(
+        F.regexp_extract("path", part, 1).alias("source"), F.regexp_extract("path", part, 2).cast("bigint").alias("shelf"), "cue_idx", "start_ms", "end_ms", "text")
+
+
 @query("scan_transcript_words", "words", "SELECT media_id, seg_idx, word_idx, start_s, end_s, word, probability, seg_text FROM words")
 def scan_transcript_words(spark, sf):
     """Transcript documents written as JSON and parsed back."""
