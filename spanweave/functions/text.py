@@ -30,6 +30,16 @@ def normalize_word(word: Column) -> Column:
     return F.btrim(F.regexp_replace(F.lower(word), r"[^a-z']+", ""), F.lit("'"))
 
 
+def normalize_words(text: Column) -> Column:
+    """``normalize_word`` of each word of a single-spaced line, by passes over the line instead of over each word."""
+    def stripped(bare: Column) -> Column:
+        # An outer run is looked at once, at its first apostrophe.
+        outer = F.regexp_replace(bare, r"(?<![^ ])'++|(?<!')'++(?= |\z)", "")
+        return F.split(F.when(F.contains(bare, F.lit("'")), outer).otherwise(bare), " ")
+
+    return let(F.regexp_replace(F.lower(text), r"[^a-z' ]+", ""), stripped)
+
+
 # The characters Windows code page 1252 places at bytes 0x80-0x9f, and those bytes as
 # ISO 8859-1 controls. Five of the bytes have no character.
 _CP1252 = "€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ"

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanweave.functions.lexicon import Lexicon
-from spanweave.functions.text import let, match_key, normalize_word, with_offsets, word_matches
+from spanweave.functions.text import let, match_key, normalize_word, normalize_words, with_offsets, word_matches
 from spanweave.functions.timefmt import idiv
 from spanweave.operators.scan import block_of
 from spanweave.session import stage
@@ -20,13 +20,12 @@ SPEECH_PAD_MS = 150
 
 def tokenize_offsets(cues: DataFrame) -> DataFrame:
     """One row per token of single-spaced cue text, with its offset in the text."""
-    def described(tokens: Column, offset) -> Column:
-        # Normalised here, a word is a plain column afterwards and not recomputed by every test of it.
-        return F.transform(tokens, lambda t, i: F.struct(
-            t.alias("token"), offset(i).alias("char_offset"), normalize_word(t).alias("norm")))
+    def described(norms: Column) -> Column:
+        return with_offsets(F.split("text", " "), lambda tokens, offset: F.transform(tokens, lambda t, i: F.struct(
+            t.alias("token"), offset(i).alias("char_offset"), F.get(norms, i).alias("norm"))))
 
     tokens = cues.where("text <> ''").select(
-        MEDIA, "cue_idx", F.posexplode(with_offsets(F.split("text", " "), described)).alias("token_idx", "t"))
+        MEDIA, "cue_idx", F.posexplode(let(normalize_words(F.col("text")), described)).alias("token_idx", "t"))
     return tokens.select(MEDIA, "cue_idx", F.col("token_idx").cast("bigint").alias("token_idx"), "t.token", "t.norm",
                          "t.char_offset")
 
@@ -58,18 +57,21 @@ def lexicon_join(tokens: DataFrame, lexicon: DataFrame) -> DataFrame:
 def flagged_words(cues: DataFrame, lexicon: Lexicon) -> DataFrame:
     """Listed words per cue with their place in the text.
 
-    Tokens are tested inside the row and only matches are exploded, so the text is copied for them alone.
+    Words are tested inside the row and only matches are exploded, so the text is copied for them alone.
     """
+    def listed(norms: Column) -> Column:
+        return F.filter(F.transform(norms, lambda n, i: F.struct(n.alias("norm"), i.alias("i"))), lambda h: lexicon.flags(h["norm"]))
+
     def matches(tokens: Column, offset) -> Column:
-        marked = F.transform(tokens, lambda t, i: F.struct(i.alias("i"), t.alias("raw"), normalize_word(t).alias("norm")))
-        return F.transform(F.filter(marked, lambda h: lexicon.flags(h["norm"])), lambda h: F.struct(
+        return F.transform("listed", lambda h: F.struct(
             h["i"].cast("bigint").alias("token_idx"), h["norm"].alias("key"),
-            F.length(h["raw"]).cast("bigint").alias("word_len"), offset(h["i"]).alias("char_offset"),
+            F.length(F.get(tokens, h["i"])).cast("bigint").alias("word_len"), offset(h["i"]).alias("char_offset"),
             F.size(tokens).alias("n_words")))
 
-    hits = cues.where("text <> ''").select(
-        MEDIA, "cue_idx", "start_ms", "end_ms", "text",
-        F.explode(with_offsets(F.split("text", " "), matches)).alias("h"))
+    cue = [MEDIA, "cue_idx", "start_ms", "end_ms", "text"]
+    # Places are worked out only in cues that have a listed word.
+    found = cues.where("text <> ''").select(*cue, let(normalize_words(F.col("text")), listed).alias("listed")).where(F.size("listed") > 0)
+    hits = found.select(*cue, F.explode(with_offsets(F.split("text", " "), matches)).alias("h"))
     return hits.select(MEDIA, "cue_idx", "start_ms", "end_ms", "text", "h.token_idx", "h.key", "h.word_len", "h.char_offset",
                        "h.n_words")
 

@@ -1,6 +1,7 @@
 """Expected values for the column functions."""
 
 import hashlib
+import random
 
 import pytest
 from conftest import rows
@@ -104,3 +105,13 @@ def test_sampling(spark):
     frames = spark.createDataFrame([(0, 101), (5, 8)], "a long, b long").select(visual.keyframe_indices(F.col("a"), F.col("b"), 3))
     assert [r[0] for r in frames.collect()] == [[0, 50, 100], [5, 6, 7]]
     assert rows(spark.range(2)) == [(0,), (1,)]
+
+
+def test_words_of_a_line(spark):
+    """Normalising a line gives what normalising its words gives."""
+    rng = random.Random(2)
+    lines = [" ".join("".join(rng.choice("aB'’0-éİKΣ") for _ in range(rng.randrange(1, 6))) for _ in range(rng.randrange(1, 9))) for _ in range(400)]
+    lines += ["'", "''' a '' 'b' c'd", "'" * 200_000 + "x" + "'" * 200_000 + "y z'", "a" + "'" * 300_000 + "b", "", "a  b "]
+    df = spark.createDataFrame([(line,) for line in lines], "line string")
+    one = F.transform(F.split("line", " "), lambda w: tx.normalize_word(w))
+    assert df.select((tx.normalize_words(F.col("line")) == one).alias("same")).where("NOT same").count() == 0
